@@ -1 +1,8 @@
 """Operators for building training corpora: each one takes and returns DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code: a cluster need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ from .common import SPACE, WORD, fresh, let, materialise, words
 
 #: Measures in thousandths, each with the widest distance from the group's median that is always allowed:
 #: a group without spread would otherwise reject every small deviation.
-MEASURES = {"symbols": 200, "dup_lines": 300, "repeats": 250, "word_length": None}
+MEASURES = {"symbols": 200, "dup_lines": 500, "repeats": 350, "word_length": None}
 #: Interquartile ranges above the upper quartile (for word_length: also below the lower one) from which a value is an outlier.
 FENCE = 4
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

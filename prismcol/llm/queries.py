@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .jaccard_join import similarity_classes
 from .mixing import mix_taken
 from .quality import quality_rules
 from .sharding import shard_by_bytes
@@ -31,6 +32,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -40,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op7_jaccard_join, op8_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
