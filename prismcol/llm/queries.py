@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .jaccard_join import similarity_classes
+from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix_taken
 from .quality import quality_rules
 from .sharding import shard_by_bytes
+from .token_count import token_counts
+from .token_output import encode_and_read, token_checksums
+from .warc import archive_and_read
 
 N_SHARDS = 40
 
@@ -32,6 +37,36 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "removed_lines", "removed_bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    back = archive_and_read(pages)
+    return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    stored = encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, end_id=0)
+    return token_checksums(stored)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
@@ -45,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op7_jaccard_join, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_license_scan, op4_warc, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_quality_rules, op9_token_output, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
