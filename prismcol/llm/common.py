@@ -27,17 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths that new_path gave, for those who want to remove what an operator has left.
+created: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    created.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return created[-1]
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder as Parquet and read them again: cuts lineage, and survives lost executors."""
     spark = frame.sparkSession
     path = new_path(spark, label)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in created:
+            created.remove(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Give Python at most so many rows at once: long texts would otherwise make batches of hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

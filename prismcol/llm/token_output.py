@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bound_batches, new_path
 
 #: Row groups are small enough to be skipped by their statistics one by one, pages by the page index; the second
 #: writer version stores ids as dictionary codes, or as deltas where a dictionary does not pay.
@@ -61,6 +61,7 @@ def write_tokens(docs: DataFrame, path: str, ranks: str, pattern: str, special:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(np.diff(offsets), pa.int64()), lists], names=["doc_id", "part", "n_tokens", "tokens"])
                 at = end
 
+    bound_batches(docs.sparkSession)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
