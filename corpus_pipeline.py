@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismcol.llm.common import new_path
+from prismcol.llm.common import created, new_path, remove
 from prismcol.llm.decontamination import decontaminate
 from prismcol.llm.jaccard_join import drop_similar
 from prismcol.llm.mixing import mix_documents
@@ -42,7 +42,26 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_by_bytes(sized, N_SHARDS, order=("doc_id", "size"))
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mixing), ("sharding", sharding)]
+def _stages(*stages):
+    """Each stage so wrapped that it first deletes what the one before it left in the shared folder: a stage's rows have to be written before the next is called."""
+    left: list[list[str]] = [[] for _ in stages]
+
+    def wrapped(k, f):
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            remove(spark, *left[k - 1])
+            left[k - 1] = []
+            before = len(created)
+            out = f(spark, docs, sf_dir)
+            left[k] += created[before:]
+            return out
+
+        stage.__doc__ = f.__doc__
+        return stage
+
+    return [(name, wrapped(k, f)) for k, (name, f) in enumerate(stages)]
+
+
+STAGES = _stages(("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mixing), ("sharding", sharding))
 
 #: SQL cannot state the result: near duplicates' components and the order of the mix are not expressible in it.
 ORACLE_SQL = None
@@ -51,8 +70,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
