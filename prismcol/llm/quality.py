@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, fresh, let, materialise, words
+from .common import SPACE, WORD, fresh, let, materialise, small, words
 
 #: Measures in thousandths, each with the widest distance from the group's median that is always allowed:
 #: a group without spread would otherwise reject every small deviation.
 MEASURES = {"symbols": 200, "dup_lines": 500, "repeats": 350, "word_length": None}
 #: Interquartile ranges above the upper quartile (for word_length: also below the lower one) from which a value is an outlier.
 FENCE = 4
+#: Groups up to which their fences, some 100 bytes each, are broadcast; beyond, they are joined by shuffles.
+MOST_GROUPS = 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -89,13 +91,13 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
         ),
         "quality",
     )
-    fences = thresholds(counts.where(~F.col("base_failed")).select(F.col(lang).alias("l"), F.col(source).alias("s"), *(F.col(v).alias(m) for v, m in zip(values, MEASURES, strict=True))))
+    fences = materialise(thresholds(counts.where(~F.col("base_failed")).select(F.col(lang).alias("l"), F.col(source).alias("s"), *(F.col(v).alias(m) for v, m in zip(values, MEASURES, strict=True)))), "fences")
+    fences, _ = small(fences, MOST_GROUPS)
     bad = F.lit(False)
     for v, m in zip(values, MEASURES, strict=True):
         bad = bad | F.coalesce(F.col(v) > F.col(f"hi_{m}"), F.lit(False))
         if MEASURES[m] is None:
             bad = bad | F.coalesce(F.col(v) < F.col(f"lo_{m}"), F.lit(False))
-    # The fences are a row for each language and source; Spark broadcasts them where it sees that they are small.
     joined = counts.join(fences, counts[lang].eqNullSafe(fences["l"]) & counts[source].eqNullSafe(fences["s"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad).select(*kept_columns, *names)
 
