@@ -126,7 +126,8 @@ def mix_taken(docs: DataFrame, seed: str = "mix", block: int = BLOCK) -> DataFra
     slots = schedule(plan, block).select(F.col("source").alias("s"), F.col("block").alias("k"), "from", "to")
     met = parts.join(slots, parts["source"].eqNullSafe(slots["s"]) & (parts["block"] == slots["k"]), "left")
     words = F.greatest(F.lit(0), F.least(F.col("to"), F.col("start") + F.col("size")) - F.greatest("from", "start"))
-    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
+    words = F.when(F.col("to").isNotNull(), words).otherwise(0)  # least and greatest pass over nulls: a block without a slot would count whole
+    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum(words).alias("taken"))
     taken = taken.select("doc_id", "source", "size", "taken").unionByName(sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     known = targets.select(F.col("source").alias("s"), "source_size", "target")
     return taken.join(known, taken["source"].eqNullSafe(known["s"])).select("doc_id", "size", "source_size", "target", "taken")
