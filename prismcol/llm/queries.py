@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .decontamination import decontaminate
 from .jaccard_join import similarity_classes
 from .license_scan import scan_licenses
@@ -84,4 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For those results that SQL can state: it lacks the shards' checksum, MinHash, line chunks and tokenizers."""
+    return {
+        "op2_decontamination": oracles.decontamination(),
+        "op4_warc": oracles.warc(),
+        "op7_jaccard_join": oracles.jaccard(),
+        "op8_quality_rules": oracles.quality(),
+        "op10_mixing": oracles.mixing(),
+    }
