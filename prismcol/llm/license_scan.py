@@ -14,7 +14,7 @@ from .hashing import Words, shingles, utf8
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
 WIDTH, PERCENT = 5, 80
 BANDS = 64  # of one row each
-STEP = 4  # words between windows of the shortest kind
+STEP = 4  # shingles between windows of the shortest kind
 PIECE = 1 << 18  # shingles that are scanned together
 
 #: Short licence notices by SPDX identifier.
@@ -58,9 +58,9 @@ def _clearest(found: dict[tuple[int, str], tuple[int, int, int]]) -> dict[tuple[
 class Templates:
     """Notices as shingle sets in classes of length, with their MinHash values.
 
-    A class holds notices of up to L words, L = 4, 8, 16 and so on (so more than L / 2, but for the first class); its windows have
-    2 L words and start at each L-th word, so an occurrence of a notice lies whole in one of them. A notice of m shingles in a window of at most
-    2 L - WIDTH + 1 has a Jaccard coefficient j of the quotient of the two or more: with BANDS single-row bands it is missed with a probability
+    A class holds notices of up to L shingles, L = 4, 8, 16 and so on (so more than L / 2, but for the first class); its windows have
+    2 L shingles and start at each L-th, so an occurrence of a notice lies whole in one of them. A notice of m shingles in a window of 2 L has a
+    Jaccard coefficient j of m / 2 L or more: with BANDS single-row bands it is missed with a probability
     of (1 - j)^BANDS, which ``chance`` gives.
     """
 
@@ -79,9 +79,9 @@ class Templates:
                     self.lengths.append(len(ws))
                     self.sets.append(np.unique(shingles(ws, width)))
         self.classes: dict[int, list[int]] = {}
-        for t, n in enumerate(self.lengths):
+        for t in range(len(self.names)):
             level = 0
-            while STEP << level < n:
+            while STEP << level < len(self.sets[t]):
                 level += 1
             self.classes.setdefault(level, []).append(t)
         self.values = {level: np.array([[self._permuted(self.sets[t], p).min() for t in ts] for p in range(BANDS)], np.uint64) for level, ts in self.classes.items()}
@@ -92,7 +92,7 @@ class Templates:
     def chance(self, t: int) -> float:
         """The probability that notice ``t`` is retrieved where it stands."""
         level = next(k for k, ts in self.classes.items() if t in ts)
-        j = len(self.sets[t]) / max(len(self.sets[t]), 2 * (STEP << level) - self.width + 1)
+        j = len(self.sets[t]) / max(len(self.sets[t]), 2 * (STEP << level))
         return 1 - (1 - j) ** BANDS
 
     def scan(self, s: np.ndarray, offsets: np.ndarray, percent: int) -> dict[tuple[int, str], tuple[int, int, int]]:
