@@ -56,7 +56,7 @@ class PairCounter:
             return self._cut(self.prefix + text.replace(" ", MARK))
         total, first = 0, bool(self.prefix)
         for line in text.split("\n"):
-            if "  " in line or line[-1:] == " " or line[:1] == " ":
+            if "  " in line or MARK in line or line[-1:] == " " or line[:1] == " ":
                 total += self._cut((self.prefix if first else "") + line.replace(" ", MARK))
             elif line or first:
                 ws = line.split(" ")
