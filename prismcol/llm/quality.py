@@ -76,7 +76,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     """
     names = [*base_counts(F.lit("")), "base_failed", "kept"]
     kept_columns = [c for c in (carry or docs.columns) if c.lower() not in names]
-    lang, source, *values = fresh(docs, "g_lang", "g_source", *(f"m_{m}" for m in MEASURES))
+    lang, source, fence, *values = fresh(docs, "g_lang", "g_source", "fence", *(f"m_{m}" for m in MEASURES))
     counts = docs.select(*kept_columns, F.col("lang").alias(lang), F.col("source").alias(source), *(v.alias(k) for k, v in base_counts(docs["text"]).items()))
     per_word = lambda c: F.expr(f"1000 * {c} div greatest(n_words, 1)")
     measure = {
@@ -92,13 +92,13 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
         "quality",
     )
     fences = materialise(thresholds(counts.where(~F.col("base_failed")).select(F.col(lang).alias("l"), F.col(source).alias("s"), *(F.col(v).alias(m) for v, m in zip(values, MEASURES, strict=True)))), "fences")
-    fences, _ = small(fences, MOST_GROUPS)
+    fences, _ = small(fences.select(F.struct(*fences.columns).alias(fence)), MOST_GROUPS)
     bad = F.lit(False)
     for v, m in zip(values, MEASURES, strict=True):
-        bad = bad | F.coalesce(F.col(v) > F.col(f"hi_{m}"), F.lit(False))
+        bad = bad | F.coalesce(F.col(v) > F.col(f"{fence}.hi_{m}"), F.lit(False))
         if MEASURES[m] is None:
-            bad = bad | F.coalesce(F.col(v) < F.col(f"lo_{m}"), F.lit(False))
-    joined = counts.join(fences, counts[lang].eqNullSafe(fences["l"]) & counts[source].eqNullSafe(fences["s"]), "left")
+            bad = bad | F.coalesce(F.col(v) < F.col(f"{fence}.lo_{m}"), F.lit(False))
+    joined = counts.join(fences, F.col(lang).eqNullSafe(F.col(f"{fence}.l")) & F.col(source).eqNullSafe(F.col(f"{fence}.s")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad).select(*kept_columns, *names)
 
 
