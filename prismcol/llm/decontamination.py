@@ -60,7 +60,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
     windows = benchmark_windows(benchmark, window, shingle)
-    key, found = fresh(docs, "text_key", "found")
+    key, found, d, t = fresh(docs, "text_key", "found", "d", "t")
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.lower(F.coalesce("text", F.lit(""))).alias("x"))
     # lower() also folds letters beyond ASCII, but breaks words at the same places; windows are folded the same way to be found, and compared as they are.
     folded = windows.select("wid", "len", "width", "wtext", F.split(F.lower("wtext"), " ").alias("w"))
@@ -86,7 +86,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     starts = starts.select("d", "t", "wid", "start", "len").distinct().join(texts, "wid")
     candidates = starts.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "len", "wtext", "items"))).alias(found))
     rows = docs.withColumn(key, F.xxhash64("text"))
-    joined = rows.join(candidates, rows["doc_id"].eqNullSafe(candidates["d"]) & (rows[key] == candidates["t"]), "left")
+    candidates = candidates.select(F.col("d").alias(d), F.col("t").alias(t), found)
+    joined = rows.join(candidates, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
     exact = let(_words(F.col("text")), lambda ws: F.filter(F.col(found), lambda c: F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ") == c["wtext"]))
     joined = joined.withColumn(found, F.when(F.col(found).isNotNull(), exact))
 
