@@ -146,7 +146,6 @@ def mix_documents(docs: DataFrame, seed: str = "mix", block: int = BLOCK) -> Dat
     first = stream(sizes, targets, seed).where("size > 0").withColumn("block", F.expr(f"start div {block}"))
     slots = schedule(block_plan(targets, block), block).select(F.col("source").alias("s"), F.col("block").alias("k"), "from", "to")
     met = first.join(slots, first["source"].eqNullSafe(slots["s"]) & (first["block"] == slots["k"])).where("from <= start and start < to")
-    copies = met.groupBy("rid").agg(F.count("*").cast("int").alias("copies"))
-    out = stored.join(copies, stored[rid] == copies["rid"])
-    (again,) = fresh(stored, "again")
-    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    again, copies = fresh(stored, "again", "copies")
+    counted = met.groupBy(F.col("rid").alias(rid)).agg(F.count("*").cast("int").alias(copies))
+    return stored.join(counted, rid).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
