@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,25 +18,52 @@ from .common import bound_batches, new_path
 #: writer version stores ids as dictionary codes, or as deltas where a dictionary does not pay.
 LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
 BYTES_AT_ONCE = 4 << 20
+#: Pieces whose ids a worker keeps, some 150 bytes each.
+MOST_PIECES = 400_000
 
 
-def _encoder(ranks: str, pattern: str, special: dict[str, int]):
-    """The vocabulary's encoder, one in each Python worker."""
-    import base64
-    import builtins
+def _encoder(tokenizer: str, pattern: str):
+    """A function that gives the ids of a whole text as little-endian bytes; one in each Python worker.
 
-    import tiktoken
+    Ids come from the tokenizers library. Its byte-level tokenizer cuts a text by ``pattern`` and encodes each piece for
+    itself, so each piece is given to the library once and its ids are kept. Strings of added tokens in a text
+    are cut out first, as the library does by default. Pieces of up to 64 characters are kept, at most MOST_PIECES;
+    then the store starts anew: this changes what is encoded again, never a result.
+    """
+    import builtins
 
     kept = builtins.__dict__.setdefault("_prismcol_encoders", {})
-    if ranks not in kept:
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        kept[ranks] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
-    return kept[ranks]
-
-
-def write_tokens(docs: DataFrame, path: str, ranks: str, pattern: str, special: dict[str, int], end_id: int) -> None:
-    """Encode each whole text, append ``end_id``, and write ``doc_id, part, n_tokens, tokens`` at ``path``.
+    if (tokenizer, pattern) in kept:
+        return kept[tokenizer, pattern]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    pieces_of = regex.compile(pattern).findall
+    added = [x.content for x in library.get_added_tokens_decoder().values()]
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+    known: dict[str, bytes] = {}
+
+    def encode(text: str) -> bytes:
+        pieces = []
+        for i, part in enumerate(cut(text) if cut and any(x in text for x in added) else [text]):
+            pieces += [part] if i % 2 else pieces_of(part)
+        new = list(set(pieces).difference(known))
+        long = {}
+        for piece, got in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            (known if len(piece) <= 64 else long)[piece] = np.array(got.ids, "<u4").tobytes()
+        out = b"".join([known[x] if x in known else long[x] for x in pieces] if long else map(known.__getitem__, pieces))
+        if len(known) > MOST_PIECES:
+            known.clear()
+        return out
+
+    kept[tokenizer, pattern] = encode
+    return encode
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
+    """Encode each whole text with the byte-level tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, n_tokens, tokens`` at ``path``.
 
     Documents are range-partitioned by id, null first, and sorted: file after file, the ids are in document order.
     ``part`` is the place of a file in that order. A null text counts as empty and has the end id alone. Rows of one id are kept, in
@@ -43,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, ranks: str, pattern: str, special:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoder(ranks, pattern, special)
+        ids_of = _encoder(tokenizer, pattern)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             at = 0
@@ -51,7 +80,7 @@ def write_tokens(docs: DataFrame, path: str, ranks: str, pattern: str, special:
                 end, n, ids, offsets = at, 0, [], [0]
                 while end < len(texts) and n < BYTES_AT_ONCE:
                     text = texts[end] or ""
-                    tokens = encoding.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
+                    tokens = np.frombuffer(ids_of(text), "<u4")
                     ids += [tokens, [end_id]]
                     offsets.append(offsets[-1] + len(tokens) + 1)
                     n += len(text)
@@ -98,10 +127,10 @@ def token_checksums(stored: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end_id: int) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
     """Write the tokens of ``docs`` in the shared folder; give the table as it is read back."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write_tokens(docs, path, ranks, pattern, special, end_id)
+    write_tokens(docs, path, tokenizer, pattern, end_id)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return spark.read.schema(f"doc_id {kind}, part int, n_tokens long, tokens array<int>").parquet(path)

@@ -91,10 +91,10 @@ def test_token_counts(odd, none):
 
 
 def test_token_output(documents, odd, none):
-    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, 0
+    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 0
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     spark = documents.sparkSession
-    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", ""])], "doc_id long, text string")
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "<|endoftext|><|endoftext|>", "x" * 300 + " <|endoftext|", "a \x1c b\u00a0 c\u2003\n\u0085d e", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", ""])], "doc_id long, text string")
     stored = encode_and_read(documents.select("doc_id", "text").unionByName(extra), *args)
     start = 0
     sums = {r["doc_id"]: r for r in token_checksums(stored).collect()}
