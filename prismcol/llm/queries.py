@@ -64,7 +64,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    stored = encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
+    stored = encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_checksums(stored)
 
 

@@ -22,25 +22,25 @@ BYTES_AT_ONCE = 4 << 20
 MOST_PIECES = 400_000
 
 
-def _encoder(tokenizer: str, pattern: str):
+def _encoder(tokenizer: str):
     """A function that gives the ids of a whole text as little-endian bytes; one in each Python worker.
 
-    Ids come from the tokenizers library. Its byte-level tokenizer cuts a text by ``pattern`` and encodes each piece for
-    itself, so each piece is given to the library once and its ids are kept. Strings of added tokens in a text
-    are cut out first, as the library does by default. Pieces of up to 64 characters are kept, at most MOST_PIECES;
-    then the store starts anew: this changes what is encoded again, never a result.
+    Ids come from the tokenizers library. Its byte-level tokenizers cut a text before encoding, among other places
+    before each space that a non-space follows, and never look across a cut. So texts are cut there, each different
+    piece is given to the library once, and its ids are kept. Strings of added tokens in a text are cut out
+    first, as the library does by default. Pieces of up to 64 characters are kept, at most MOST_PIECES; then the
+    store starts anew: this changes what is encoded again, never a result.
     """
     import builtins
 
     kept = builtins.__dict__.setdefault("_prismcol_encoders", {})
-    if (tokenizer, pattern) in kept:
-        return kept[tokenizer, pattern]
+    if tokenizer in kept:
+        return kept[tokenizer]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
-    pieces_of = regex.compile(pattern).findall
+    pieces_of = re.compile(r"(?= \S)").split
     added = [x.content for x in library.get_added_tokens_decoder().values()]
     cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
     known: dict[str, bytes] = {}
@@ -58,11 +58,11 @@ def _encoder(tokenizer: str, pattern: str):
             known.clear()
         return out
 
-    kept[tokenizer, pattern] = encode
+    kept[tokenizer] = encode
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode each whole text with the byte-level tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, n_tokens, tokens`` at ``path``.
 
     Documents are range-partitioned by id, null first, and sorted: file after file, the ids are in document order.
@@ -72,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(tokenizer, pattern)
+        ids_of = _encoder(tokenizer)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             at = 0
@@ -127,10 +127,10 @@ def token_checksums(stored: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the tokens of ``docs`` in the shared folder; give the table as it is read back."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, pattern, end_id)
+    write_tokens(docs, path, tokenizer, end_id)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return spark.read.schema(f"doc_id {kind}, part int, n_tokens long, tokens array<int>").parquet(path)

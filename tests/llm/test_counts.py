@@ -14,7 +14,7 @@ from prismcol.llm.mixing import mix_documents, mix_taken, source_targets
 from prismcol.llm.quality import quality_rules, repeated_words
 from prismcol.llm.sharding import shard_by_bytes
 from prismcol.llm.token_count import PairCounter, token_counts
-from prismcol.llm.token_output import encode_and_read, token_checksums, token_index
+from prismcol.llm.token_output import _encoder, encode_and_read, token_checksums, token_index
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -91,7 +91,7 @@ def test_token_counts(odd, none):
 
 
 def test_token_output(documents, odd, none):
-    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 0
+    args = public_tokenizers.path("byte_bpe_50k.json"), 0
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     spark = documents.sparkSession
     extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "<|endoftext|><|endoftext|>", "x" * 300 + " <|endoftext|", "a \x1c b\u00a0 c\u2003\n\u0085d e", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", ""])], "doc_id long, text string")
@@ -107,3 +107,12 @@ def test_token_output(documents, odd, none):
     assert all(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [0] == r["tokens"] for r in stored.collect())
     rows = token_checksums(encode_and_read(odd, *args)).collect()
     assert len(rows) == 10 and min(r["n_tokens"] for r in rows) == 1 and token_checksums(encode_and_read(none, *args)).count() == 0
+
+
+def test_encoder_agrees_with_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode, rng = Tokenizer.from_file(path), _encoder(path), random.Random(5)
+    alphabet = [*" \n\t\r\x1c\x1f\x85\xa0 　'sat1.,-<|>éя日🎉_", "  ", "<|endoftext|>", "'re", " the"]
+    for _ in range(5000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(14)))
+        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
