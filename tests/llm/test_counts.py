@@ -91,7 +91,7 @@ def test_token_counts(odd, none):
 
 
 def test_token_output(documents, odd, none):
-    args = public_tokenizers.path("byte_bpe_50k.json"), 0
+    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 0
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     spark = documents.sparkSession
     extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "<|endoftext|><|endoftext|>", "x" * 300 + " <|endoftext|", "a \x1c b\u00a0 c\u2003\n\u0085d e", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", ""])], "doc_id long, text string")
@@ -111,7 +111,7 @@ def test_token_output(documents, odd, none):
 
 def test_encoder_agrees_with_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encode, rng = Tokenizer.from_file(path), _encoder(path), random.Random(5)
+    library, encode, rng = Tokenizer.from_file(path), _encoder(path, public_tokenizers.PATTERN), random.Random(5)
     alphabet = [*" \n\t\r\x1c\x1f\x85\xa0 　'sat1.,-<|>éя日🎉_", "  ", "<|endoftext|>", "'re", " the"]
     for _ in range(5000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(14)))
