@@ -99,7 +99,7 @@ def length(values: DataFrame) -> DataFrame:
     return usable(values).groupBy("column").agg(
         mean(L()).alias("len_mean"), spread(L()).alias("len_sd"), F.min(L()).alias("len_min"), F.max(L()).alias("len_max"), (F.max(L()) - F.min(L())).alias("len_range"),
         F.percentile(L(), F.lit(0.5), F.least(W(), F.lit(1000))).alias("len_median"), (F.min(L()) == F.max(L())).cast("double").alias("is_fixed_width"), F.count_distinct(L()).alias("n_distinct_len"),
-        F.max(V().rlike(r"^0[0-9]+\z").cast("double")).alias("has_leading_zeros"), share(V().rlike(r"^\s")).alias("pct_lead_ws"), share(V().rlike(r"\s\z")).alias("pct_trail_ws"),
+        share(V().rlike("^0[0-9]")).alias("has_leading_zeros"), share(V().rlike(r"^\s")).alias("pct_lead_ws"), share(V().rlike(r"\s\z")).alias("pct_trail_ws"),
         share(V().rlike(r"\s{2,}")).alias("pct_multi_ws"), mean(tokens).alias("tok_mean"), spread(tokens).alias("tok_sd"), F.max(tokens).alias("tok_max"), share(tokens == 1).alias("pct_single_tok"),
     )
 
@@ -141,7 +141,7 @@ def mask(values: DataFrame) -> DataFrame:
     by = lambda c, pre: rows.groupBy("column", F.expr(c).alias("x")).agg(F.sum("w").alias("w"), F.count("*").alias("k")).groupBy("column").agg(F.count("*").alias(f"n_{pre}s"), (F.count("*") / F.sum("k")).alias(f"{pre}_unique_ratio"), (F.max("w") / F.sum("w")).alias(f"{pre}_top_share"), (F.log(F.sum("w")) - F.sum(W() * F.log(W())) / F.sum("w")).alias(f"{pre}_entropy"))
     ends = rows.groupBy("column").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min(F.reverse("v")).alias("c"), F.max(F.reverse("v")).alias("d"))
     common = lambda x, y: F.expr(f"size(filter(sequence(1, greatest(1, least(length({x}), length({y})))), i -> left({x}, i) = left({y}, i) and i <= length({x})))")
-    plain = by("m", "mask").withColumn("is_single_mask", (F.col("mask_top_share") > 0.95).cast("double")).withColumn("mask_entropy_norm", F.when(F.col("n_masks") >= 2, F.col("mask_entropy") / F.log("n_masks")))
+    plain = by("m", "mask").withColumn("mask_residual_rate", 1 - F.col("mask_top_share")).withColumn("is_single_mask", (F.col("mask_top_share") > 0.95).cast("double")).withColumn("mask_entropy_norm", F.when(F.col("n_masks") >= 2, F.col("mask_entropy") / F.log("n_masks")))
     return plain.join(by(r"regexp_replace(m, '(.)\\1+', '$1+')", "cmask"), "column").join(ends.select("column", common("a", "b").alias("lcp_len"), common("c", "d").alias("lcs_len")), "column")
 
 
@@ -191,13 +191,19 @@ def numeric(values: DataFrame) -> DataFrame:
 
 
 def token(values: DataFrame) -> DataFrame:
-    toks = usable(values).select("column", "w", F.explode(F.filter(F.split(F.regexp_replace(F.lower(V()), "[^a-z0-9]+", " "), " "), lambda t: t != "")).alias("t"))
-    by = toks.groupBy("column", "t").agg(F.sum("w").alias("w"))
+    """Tokens of letters, digits and apostrophes in small letters. The type-token ratio and the closure are over distinct values."""
+    u = usable(values)
+    toks = u.select("column", "w", F.explode(F.filter(F.split(F.lower(F.regexp_replace(V(), "[^A-Za-z0-9' ]", " ")), " +"), lambda t: t != "")).alias("t"))
+    by = toks.groupBy("column", "t").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
     t = F.col("t")
-    return by.groupBy("column").agg(
-        F.count("*").alias("tok_n_unique"), (F.log(F.sum(W())) - F.sum(W() * F.log(W())) / F.sum(W())).alias("tok_entropy"), (F.sum(F.when(W() == 1, 1).otherwise(0)) / F.count("*")).alias("tok_hapax_ratio"), (F.count("*") / F.sum(W())).alias("tok_ttr"),
-        share(t.isin(STOPWORDS)).alias("stopword_rate"), mean(F.length(t)).alias("tok_len_mean"), share(t.rlike(r"^[a-z]+\z")).alias("pct_tok_alpha"), share(t.rlike(r"^[0-9]+\z")).alias("pct_tok_numeric"),
+    entropy = F.log(F.sum(W())) - F.sum(W() * F.log(W())) / F.sum(W())
+    out = by.groupBy("column").agg(
+        F.count("*").alias("tok_n_unique"), entropy.alias("tok_entropy"), F.when(F.count("*") >= 2, entropy / F.log(F.count("*"))).alias("tok_entropy_norm"), (F.sum(F.when(W() == 1, 1).otherwise(0)) / F.count("*")).alias("tok_hapax_ratio"), (F.count("*") / F.sum("k")).alias("tok_ttr"),
+        share(t.isin(STOPWORDS)).alias("stopword_rate"), mean(F.length(t)).alias("tok_len_mean"), F.sqrt(F.greatest(F.lit(0.0), mean(F.length(t) * F.length(t)) - F.pow(mean(F.length(t)), 2))).alias("tok_len_sd"),
+        share(t.rlike(r"^[a-z']+\z")).alias("pct_tok_alpha"), share(t.rlike(r"^[0-9]+\z")).alias("pct_tok_numeric"), share(t.rlike("[a-z]") & t.rlike("[0-9]")).alias("pct_tok_mixed"), (F.sum(F.regexp_count(t, F.lit("[aeiou]")) * W()) / F.sum(F.length(t) * W())).alias("vowel_rate"),
     )
+    distinct = u.groupBy("column").agg(F.count("*").alias("n_values"))
+    return out.join(distinct, "column").withColumn("tok_vocab_closure", F.col("tok_n_unique") / F.col("n_values")).drop("n_values")
 
 
 def header(values: DataFrame) -> DataFrame:
@@ -221,6 +227,8 @@ BLOCKS = {"core": core, "zipf": zipf, "length": length, "charclass": charclass,
 
 def profile(df: DataFrame, columns: list[str] | None = None, blocks: list[str] | None = None) -> DataFrame:
     """All chosen blocks' features, a row for each column; core is always part of it."""
+    from . import profile_ends  # noqa: F401 - it uses the helpers above, and adds its blocks
+
     values = values_frame(df, columns)
     values = values.persist()
     frames = [BLOCKS[b](values) for b in dict.fromkeys(["core", *(blocks or BLOCKS)])]

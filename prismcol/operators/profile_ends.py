@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER
 from ..sources.values import usable
-from .profile import L, V, W, mean, spread, stripped
+from .profile import BLOCKS, L, V, W, mean, spread, stripped
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 DELIMITERS = {"comma": ",", "semi": ";", "pipe": "|", "slash": "/"}
@@ -105,3 +105,6 @@ def moments(values: DataFrame) -> DataFrame:
     logs = standard_moments(rows.where(pos).select("column", "w", F.log("x").alias("x")), "skewness_log", "kurtosis_log").drop("kurtosis_log")
     out = base.join(standard_moments(rows, "skewness", "kurtosis"), "column", "left").join(logs, "column", "left").withColumn("skewness_log", F.when(F.col("n_pos") > 3, F.col("skewness_log")))
     return out.select("column", *(F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in out.columns if c not in ("column", "n", "n_pos")))
+
+
+BLOCKS.update(letters=letters, token_ends=token_ends, shapes=shapes, moments=moments)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import SENTINELS, STATES, STOPWORDS
 from ..operators import evaluation, ontology, screens, similarity, testgen
 from ..operators import profile as P
+from ..operators import profile_ends as E
 from ..operators.detectors import REGISTRY
 from ..operators.scoring import NAME_RULES, classify_names, guess_columns, score_values
 from ..operators.stabilize import transform
@@ -177,7 +178,7 @@ def _sd(x: str) -> str:
 
 _LENGTH = {
     "len_mean": "sum(length(v) * w) / sum(w)", "len_sd": _sd("length(v)"), "len_min": "min(length(v))", "len_max": "max(length(v))", "len_range": "max(length(v)) - min(length(v))", "is_fixed_width": "case when max(length(v)) = min(length(v)) then 1 else 0 end",
-    "n_distinct_len": "count(distinct length(v))", "has_leading_zeros": r"max(case when regexp_matches(v, '^0[0-9]+\z') then 1 else 0 end)", "tok_mean": f"sum({_TOK} * w) / sum(w)", "tok_max": f"max({_TOK})", "pct_single_tok": SHARE.format(f"{_TOK} = 1"),
+    "n_distinct_len": "count(distinct length(v))", "has_leading_zeros": SHARE.format("regexp_matches(v, '^0[0-9]')"), "tok_mean": f"sum({_TOK} * w) / sum(w)", "tok_max": f"max({_TOK})", "pct_single_tok": SHARE.format(f"{_TOK} = 1"),
 }
 
 
@@ -246,16 +247,50 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = {
-    "tok_n_unique": "count(*)", "tok_entropy": "ln(sum(w)) - sum(w * ln(w)) / sum(w)", "tok_hapax_ratio": "sum(case when w = 1 then 1 else 0 end) / count(*)", "tok_ttr": "count(*) / sum(w)", "stopword_rate": SHARE.format("t in (" + ", ".join(f"'{s}'" for s in STOPWORDS) + ")"),
-    "tok_len_mean": "sum(length(t) * w) / sum(w)", "pct_tok_alpha": SHARE.format(r"regexp_matches(t, '^[a-z]+\z')"), "pct_tok_numeric": SHARE.format(r"regexp_matches(t, '^[0-9]+\z')"),
+    "tok_n_unique": "count(*)", "tok_entropy": "ln(sum(w)) - sum(w * ln(w)) / sum(w)", "tok_hapax_ratio": "sum(case when w = 1 then 1 else 0 end) / count(*)", "tok_ttr": "count(*) / sum(k)", "tok_entropy_norm": "case when count(*) >= 2 then (ln(sum(w)) - sum(w * ln(w)) / sum(w)) / ln(count(*)) end", "stopword_rate": SHARE.format("t in (" + ", ".join(f"'{s}'" for s in STOPWORDS) + ")"),
+    "tok_len_mean": "sum(length(t) * w) / sum(w)", "pct_tok_alpha": SHARE.format(r"regexp_matches(t, '^[a-z'']+\z')"), "pct_tok_mixed": SHARE.format("regexp_matches(t, '[a-z]') and regexp_matches(t, '[0-9]')"), "vowel_rate": "sum(w * length(regexp_replace(t, '[^aeiou]', '', 'g'))) / sum(w * length(t))", "pct_tok_numeric": SHARE.format(r"regexp_matches(t, '^[0-9]+\z')"),
 }
 
 
-@query("profile_token", sql_values(TEXTS) + ", e as (select \"column\", unnest(string_split(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g'), ' ')) as t, w from u), t as (select \"column\", t, sum(w) as w from e where t <> '' group by 1, 2) select \"column\", " + sql_measures(_TOKENS) + " from t group by 1")
+@query("profile_token", sql_values(TEXTS) + ", e as (select \"column\", unnest(string_split(lower(regexp_replace(v, '[^A-Za-z0-9'' ]', ' ', 'g')), ' ')) as t, w from u), t as (select \"column\", t, sum(w) as w, count(*) as k from e where t <> '' group by 1, 2) select \"column\", " + sql_measures(_TOKENS) + " from t group by 1")
 def profile_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.token(values_of(spark, sf_dir, TEXTS)).select("column", *_TOKENS))
 
 
+_ENDS = {
+    **{f"first_{c}": SHARE.format(f"t[1] = '{c}'") for c in _LETTERS}, **{f"last_{c}": SHARE.format(f"t[-1] = '{c}'") for c in _LETTERS}, "suffix2_n_distinct": "count(distinct right(t, 2))",
+}
+
+
+@query("profile_letters", sql_values(TEXTS) + ", e as (select \"column\", unnest(string_split(lower(regexp_replace(v, '[^A-Za-z ]', ' ', 'g')), ' ')) as t, w from u) select \"column\", " + sql_measures(_ENDS) + " from e where t <> '' group by 1")
+def profile_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.letters(values_of(spark, sf_dir, TEXTS)).select("column", *_ENDS))
+
+
+_LAST = {"top_share": "max(w) / sum(w)", "entropy": "ln(sum(w)) - sum(w * ln(w)) / sum(w)", "n_unique": "count(*)"}
+
+
+@query("profile_token_ends", sql_values(TEXTS) + ", a as (select \"column\", list_filter(string_split(lower(regexp_replace(v, '[^A-Za-z0-9'' ]', ' ', 'g')), ' '), lambda x: x <> '') as a, w from u), " + ", ".join(f"{n} as (select \"column\", a[{i}] as t, sum(w) as w from a where len(a) > 0 group by 1, 2), {n}s as (select \"column\", " + sql_measures({f"{n}_tok_{k}": e for k, e in _LAST.items()}) + f" from {n} group by 1)" for n, i in (("first", 1), ("last", -1))) + " select * from firsts join lasts using (\"column\")")
+def profile_token_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.token_ends(values_of(spark, sf_dir, TEXTS)).select("column", *(f"{n}_tok_{k}" for n in ("first", "last") for k in _LAST)))
+
+
+_SHAPES = {"len_top_share": "max(w) / sum(w)", "len_entropy": "ln(sum(k)) - sum(k * ln(k)) / sum(k)"}
+
+
+@query("profile_shapes", sql_values(TEXTS) + ", l as (select \"column\", length(v) as x, sum(w) as w, count(*) as k from u group by 1, 2) select \"column\", " + sql_measures(_SHAPES) + " from l group by 1")
+def profile_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.shapes(values_of(spark, sf_dir, TEXTS)).select("column", *_SHAPES))
+
+
+_MOMENTS = {"skewness": "sum(w * pow((x - m) / s, 3)) / sum(w)", "kurtosis": "sum(w * pow((x - m) / s, 4)) / sum(w) - 3", "zero_inflation": SHARE.format("x = 0")}
+
+
+@query("profile_moments", sql_values(NUMBERS) + ", n as (select \"column\", cast(v as double) as x, w from u), m as (select \"column\", sum(x * w) / sum(w) as m from n group by 1), d as (select \"column\", m, sqrt(sum(w * (x - m) * (x - m)) / sum(w)) as s from n join m using (\"column\") group by 1, 2) select \"column\", " + sql_measures(_MOMENTS) + " from n join d using (\"column\") group by 1")
+def profile_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.moments(values_of(spark, sf_dir, NUMBERS)).select("column", *_MOMENTS))
+
+
 @query("profile_header")
 def profile_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.header(values_of(spark, sf_dir, TEXTS)))
