@@ -112,8 +112,9 @@ def charclass(values: DataFrame) -> DataFrame:
         *(mean(s).alias(f"pct_chr_{k}") for k, s in shares.items()),
         mean(1 - reduce(lambda a, b: a + b, shares.values())).alias("pct_chr_other"), mean((F.octet_length(V()) - count(r"[\x00-\x7F]")) / F.nullif(L(), F.lit(0))).alias("pct_nonascii"),
         spread(shares["digit"]).alias("sd_pct_digit"), spread(shares["alpha"]).alias("sd_pct_alpha"),
-        *(share(V().rlike(p)).alias(f"pct_{k}") for k, p in {"all_digits": r"^[0-9]+\z", "all_alpha": r"^[A-Za-z]+\z", "all_alpha_sp": r"^[A-Za-z ]+\z", "alnum_mixed": r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+\z", "starts_digit": r"^[0-9]", "ends_digit": r"[0-9]\z", "all_upper": r"^[^a-z]*[A-Z][^a-z]*\z", "all_lower": r"^[^A-Z]*[a-z][^A-Z]*\z", "title_case": r"^([A-Z][a-z]*)( [A-Z][a-z]*)*\z", "camel_case": r"^[a-z]+([A-Z][a-z]*)+\z"}.items()),
-        mean(count("[A-Z]") / F.nullif(L(), F.lit(0))).alias("pct_upper_chr"),
+        *(share(V().rlike(p)).alias(f"pct_{k}") for k, p in {"all_digits": r"^[0-9]+\z", "all_alpha": r"^[A-Za-z]+\z", "all_alpha_sp": r"^[A-Za-z ]+\z", "alnum_mixed": "(?s)^(?=.*[0-9])(?=.*[A-Za-z])", "starts_digit": r"^[0-9]", "ends_digit": r"[0-9]\z", "title_case": r"^[A-Z][a-z]+( [A-Z][a-z']+)*\z", "camel_case": "^[a-z]+[A-Z]"}.items()),
+        share(V().rlike("[A-Za-z]") & (V() == F.upper(V()))).alias("pct_all_upper"), share(V().rlike("[A-Za-z]") & (V() == F.lower(V()))).alias("pct_all_lower"),
+        mean(count("[A-Z]") / F.nullif(count("[A-Za-z]"), F.lit(0))).alias("pct_upper_chr"),
     )
 
 
@@ -184,7 +185,9 @@ def numeric(values: DataFrame) -> DataFrame:
         "num_min": F.min(x), "num_max": F.max(x), "num_mean": m1, "num_sd": F.when(F.count_distinct(x) >= 2, F.sqrt(F.greatest(F.lit(0.0), F.sum(x * x * W()) / nw - m1 * m1))),
         "num_median": F.percentile(x, F.lit(0.5), F.least(W(), F.lit(500))), "num_iqr": F.percentile(x, F.lit(0.75), F.least(W(), F.lit(500))) - F.percentile(x, F.lit(0.25), F.least(W(), F.lit(500))),
         "pct_integer": of(x == F.floor(x)), "pct_negative": of(x < 0), "pct_zero": of(x == 0), "pct_positive": of(x > 0), "dec_mean": F.sum(decimals * W()) / nw, "dec_max": F.max(decimals), "dec_n_distinct": F.count_distinct(decimals),
-        **{k: F.min(x.between(a, b).cast("double")) for k, (a, b) in {"bound_unit": (0, 1), "bound_pct": (0, 100), "bound_corr": (-1, 1), "bound_lat": (-90, 90), "bound_lon": (-180, 180), "bound_year": (1800, 2100), "bound_age": (0, 120)}.items()},
+        **{k: F.min(x.between(a, b).cast("double")) for k, (a, b) in {"bound_unit": (0, 1), "bound_pct": (0, 100), "bound_corr": (-1, 1), "bound_lat": (-90, 90), "bound_lon": (-180, 180), "bound_age": (0, 120), "range_excel_dt": (25000, 60000), "range_epoch_s": (5e8, 2.5e9), "range_epoch_ms": (5e11, 2.5e12)}.items()},
+        "bound_year": F.min((x.between(1900, 2100) & (x == F.floor(x))).cast("double")), "all_integer": F.min((x == F.floor(x)).cast("double")), "dec_fixed_2": F.min((decimals == 2).cast("double")), "dec_fixed": (F.count_distinct(decimals) == 1).cast("double"),
+        "num_cv": F.when(m1 != 0, F.when(F.count_distinct(x) >= 2, F.sqrt(F.greatest(F.lit(0.0), F.sum(x * x * W()) / nw - m1 * m1))) / F.abs(m1)),
         "pct_round_10": of(x % 10 == 0), "pct_round_100": of(x % 100 == 0), "pct_num_sentinel": of(x.isin(-1.0, -8.0, -9.0, -99.0, -999.0, -9999.0, 999.0, 9999.0, 99999.0, 999999.0)),
     }
     return rows.groupBy("column").agg((F.sum(F.when(F.col("raw"), W()).otherwise(0)) / F.sum(W())).alias("coerce_rate_raw"), (F.sum(F.when(x.isNotNull(), W()).otherwise(0)) / F.sum(W())).alias("coerce_rate_strip"), *(F.when(nw >= 3, c).alias(k) for k, c in made.items()))
@@ -208,7 +211,7 @@ def token(values: DataFrame) -> DataFrame:
 
 def header(values: DataFrame) -> DataFrame:
     name = F.lower("column")
-    return values.select("column").distinct().select("column", *(name.rlike(p).cast("double").alias(f"nm_{k}") for k, p in HEADER_WORDS.items()), F.length("column").alias("nm_nchar"), F.col("column").contains("_").cast("double").alias("nm_has_under"), F.size(F.split("column", "[^A-Za-z0-9]+")).alias("nm_n_tokens"))
+    return values.select("column").distinct().select("column", *(name.rlike(p).cast("double").alias(f"nm_{k}") for k, p in HEADER_WORDS.items()), F.length("column").alias("nm_nchar"), F.col("column").contains("_").cast("double").alias("nm_has_under"), (F.col("column") == F.upper("column")).cast("double").alias("nm_is_upper"), F.size(F.split("column", "[_ .]+")).alias("nm_n_tokens"))
 
 
 def sequence(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -191,8 +191,13 @@ def _part(p: str) -> str:
     return f"sum(len(regexp_extract_all(v, '{p}')) * w / length(v)) / sum(w)"
 
 
+def _count(chars: str) -> str:
+    return f"length(regexp_replace(v, '[^{chars[1:]}', '', 'g'))"
+
+
 _CHARS = {
-    "pct_chr_digit": _part("[0-9]"), "pct_chr_alpha": _part("[A-Za-z]"), "pct_chr_space": _part(r"\s"), "pct_chr_punct": _part("[[:punct:]]"), "pct_upper_chr": _part("[A-Z]"),
+    "pct_chr_digit": _part("[0-9]"), "pct_chr_alpha": _part("[A-Za-z]"), "pct_chr_space": _part(r"\s"), "pct_chr_punct": _part("[[:punct:]]"), "pct_upper_chr": f"sum(w * {_count('[A-Z]')} / nullif({_count('[A-Za-z]')}, 0)) / sum(case when {_count('[A-Za-z]')} > 0 then w end)",
+    "pct_all_upper": SHARE.format("regexp_matches(v, '[A-Za-z]') and v = upper(v)"), "pct_all_lower": SHARE.format("regexp_matches(v, '[A-Za-z]') and v = lower(v)"), "pct_alnum_mixed": SHARE.format("regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')"),
     "pct_all_digits": SHARE.format(r"regexp_matches(v, '^[0-9]+\z')"), "pct_all_alpha": SHARE.format(r"regexp_matches(v, '^[A-Za-z]+\z')"), "pct_starts_digit": SHARE.format("regexp_matches(v, '^[0-9]')"), "pct_ends_digit": SHARE.format(r"regexp_matches(v, '[0-9]\z')"),
 }
 
@@ -237,7 +242,7 @@ def profile_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM = {
     "coerce_rate_strip": "1.0", "num_min": "min(x)", "num_max": "max(x)", "num_mean": "sum(x * w) / sum(w)", "pct_integer": SHARE.format("x = floor(x)"), "pct_negative": SHARE.format("x < 0"), "pct_zero": SHARE.format("x = 0"), "pct_positive": SHARE.format("x > 0"),
-    "bound_unit": "min(case when x between 0 and 1 then 1 else 0 end)", "bound_pct": "min(case when x between 0 and 100 then 1 else 0 end)", "bound_age": "min(case when x between 0 and 120 then 1 else 0 end)", "pct_round_10": SHARE.format("x % 10 = 0"), "pct_num_sentinel": SHARE.format("x in (-1,-8,-9,-99,-999,-9999,999,9999,99999,999999)"),
+    "bound_unit": "min(case when x between 0 and 1 then 1 else 0 end)", "bound_pct": "min(case when x between 0 and 100 then 1 else 0 end)", "bound_age": "min(case when x between 0 and 120 then 1 else 0 end)", "bound_year": "min(case when x between 1900 and 2100 and x = floor(x) then 1 else 0 end)", "all_integer": "min(case when x = floor(x) then 1 else 0 end)", "pct_round_10": SHARE.format("x % 10 = 0"), "pct_num_sentinel": SHARE.format("x in (-1,-8,-9,-99,-999,-9999,999,9999,99999,999999)"),
 }
 
 
