@@ -11,7 +11,7 @@ from . import oracles
 from .decontamination import decontaminate
 from .jaccard_join import similarity_classes
 from .license_scan import scan_licenses
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_runs
 from .mixing import mix_taken
 from .quality import quality_rules
 from .sharding import shard_by_bytes
@@ -43,7 +43,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = dedup_lines(table(spark, sf_dir, "documents"))
+    clean = dedup_runs(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "removed_lines", "removed_bytes", F.sha2("text", 256).alias("text_sha256"))
 
 
