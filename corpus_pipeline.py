@@ -13,6 +13,8 @@ from prismcol.llm.quality import quality_rules
 from prismcol.llm.sharding import shard_by_bytes
 
 N_SHARDS = 40
+#: Near duplicates share 80 hundredths of their five-word shingles; op7's own values are its contract's.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents, the one of the smallest id."""
-    return drop_similar(docs).select(*docs.columns)
+    return drop_similar(docs, SHINGLE_WORDS, SIMILAR_PERCENT).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
