@@ -61,9 +61,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
     windows = benchmark_windows(benchmark, window, shingle)
     key, found, d, t = fresh(docs, "text_key", "found", "d", "t")
-    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.lower(F.coalesce("text", F.lit(""))).alias("x"))
-    # lower() also folds letters beyond ASCII, but breaks words at the same places; windows are folded the same way to be found, and compared as they are.
-    folded = windows.select("wid", "len", "width", "wtext", F.split(F.lower("wtext"), " ").alias("w"))
+    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("x"))
+    # Only A-Z is folded, as in windows: lower() would fold a sigma by what stands around its word.
+    folded = windows.select("wid", "len", "width", "wtext", F.split("wtext", " ").alias("w"))
     widths = [r[0] for r in folded.select("width").distinct().collect()]  # at most as many as a shingle has words
     sets = F.lit(None).cast("array<bigint>")
     for k in widths:
