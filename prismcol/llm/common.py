@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a session in one process gets a new local folder; on a cluster that would be another folder on each machine, so it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="prismcol-"))
-        base = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismcol-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -56,11 +60,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
             created.remove(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Give Python at most so many rows at once: long texts would otherwise make batches of hundreds of MB."""
+@contextmanager
+def bound_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """While in it, plans are made that give Python at most so many rows at once: long texts would otherwise make batches of hundreds of MB.
+
+    The setting is read when a plan is made, so what runs in it has to be an action; afterwards the session has its own again.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    was = spark.conf.get(key)
+    if 0 < int(was) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,105 +12,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, new_path
+from .common import bound_batches, fresh, new_path
 
 #: Row groups are small enough to be skipped by their statistics one by one, pages by the page index; the second
 #: writer version stores ids as dictionary codes, or as deltas where a dictionary does not pay.
 LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
-BYTES_AT_ONCE = 4 << 20
-#: Pieces whose ids a worker keeps, some 150 bytes each.
-MOST_PIECES = 400_000
-
-
-def _encoder(tokenizer: str, pattern: str):
-    """A function that gives the ids of a whole text as little-endian bytes; one in each Python worker.
-
-    Ids come from the tokenizers library. Its byte-level tokenizer cuts a text by ``pattern`` and encodes each piece for
-    itself, so each piece is given to the library once and its ids are kept. Strings of added tokens in a text
-    are cut out first, as the library does by default. Pieces of up to 64 characters are kept, at most MOST_PIECES;
-    then the store starts anew: this changes what is encoded again, never a result.
+CHARS_AT_ONCE = 1 << 20
+#: Characters from which a text is encoded in segments.
+SEGMENT = 1 << 20
+#: A byte-level tokenizer's pieces never reach over this place: a word of ASCII letters ends, and the next starts with its space.
+SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+def segments(text: str, size: int) -> Iterator[str]:
+    """The text in segments of ``size`` characters and some more, cut where no piece of the tokenizer reaches over; their ids, joined, are the text's."""
+    at = 0
+    while len(text) - at > size:
+        cut = SAFE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def _encoder(tokenizer: str):
+    """A function that gives for each whole text its ids, as arrays; one in each Python worker.
+
+    All ids come from the tokenizers library, to which the texts are given whole. Very long ones are given in segments, which bounds
+    the library's own memory and changes no id.
     """
     import builtins
 
     kept = builtins.__dict__.setdefault("_prismcol_encoders", {})
-    if (tokenizer, pattern) in kept:
-        return kept[tokenizer, pattern]
+    if tokenizer in kept:
+        return kept[tokenizer]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
-    pieces_of = regex.compile(pattern).findall
-    added = [x.content for x in library.get_added_tokens_decoder().values()]
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
-    known: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        pieces = []
-        for i, part in enumerate(cut(text) if cut and any(x in text for x in added) else [text]):
-            pieces += [part] if i % 2 else pieces_of(part)
-        new = list(set(pieces).difference(known))
-        long = {}
-        for piece, got in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(piece) <= 64 else long)[piece] = np.array(got.ids, "<u4").tobytes()
-        out = b"".join([known[x] if x in known else long[x] for x in pieces] if long else map(known.__getitem__, pieces))
-        if len(known) > MOST_PIECES:
-            known.clear()
-        return out
-
-    kept[tokenizer, pattern] = encode
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        if any(len(t) > SEGMENT for t in texts):
+            return [np.concatenate([np.array(library.encode_batch_fast([s], add_special_tokens=False)[0].ids, np.int32) for s in segments(t, SEGMENT)]) for t in texts]
+        return [np.array(e.ids, np.int32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    kept[tokenizer] = encode
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
-    """Encode each whole text with the byte-level tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, n_tokens, tokens`` at ``path``.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+    """Encode each whole text with the byte-level tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, inside, n_tokens, tokens`` at ``path``.
 
     Documents are range-partitioned by id, null first, and sorted: file after file, the ids are in document order.
-    ``part`` is the place of a file in that order. A null text counts as empty and has the end id alone. Rows of one id are kept, in
-    the order of their texts. The vocabulary file has to be at its path on each executor. Other columns are not written. An empty table gives no rows.
+    ``part`` is the place of a file in that order, ``inside`` the number of ids before the document in its part. A null text counts as empty and has the end id alone. Rows of one id
+    are kept, in the order of their texts' hashes; so many rows of one id that they fill several parts are spread over them. The vocabulary file has to be at its path on each executor.
+    Other columns are not written. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(tokenizer, pattern)
+        ids_of, inside = _encoder(tokenizer), 0
+        end = np.array([end_id], np.int32)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             at = 0
             while at < len(texts):
-                end, n, ids, offsets = at, 0, [], [0]
-                while end < len(texts) and n < BYTES_AT_ONCE:
-                    text = texts[end] or ""
-                    tokens = np.frombuffer(ids_of(text), "<u4")
-                    ids += [tokens, [end_id]]
-                    offsets.append(offsets[-1] + len(tokens) + 1)
-                    n += len(text)
-                    end += 1
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                upto, n = at, 0
+                while upto < len(texts) and n < CHARS_AT_ONCE:
+                    n += len(texts[upto])
+                    upto += 1
+                found = ids_of(texts[at:upto])
+                offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found])])
+                flat = pa.array(np.concatenate([x for ids in found for x in (ids, end)]))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(np.diff(offsets), pa.int64()), lists], names=["doc_id", "part", "n_tokens", "tokens"])
-                at = end
+                columns = [batch.column(0)[at:upto], batch.column(1)[at:upto], pa.array(inside + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "inside", "n_tokens", "tokens"])
+                inside += int(offsets[-1])
+                at = upto
 
-    bound_batches(docs.sparkSession)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    dealt.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(encode, f"doc_id {kind}, part int, n_tokens long, tokens array<int>").write.options(**LAYOUT).parquet(path)
+    key, tie = fresh(docs, "key", "tie")
+    order = [F.col("doc_id").asc_nulls_first(), F.col(key), F.col(tie)]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias(key), F.monotonically_increasing_id().alias(tie))
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    with bound_batches(docs.sparkSession):
+        dealt.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(encode, f"doc_id {kind}, part int, inside long, n_tokens long, tokens array<int>").write.options(**LAYOUT).parquet(path)
 
 
-def token_index(stored: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens`` of written tokens: ``start`` counts the ids of all documents before. The ids themselves are not read.
+def read_tokens(spark, path: str, kind: str = "bigint") -> DataFrame:
+    """Written tokens as a table; ``kind`` is the type of the document ids."""
+    return spark.read.schema(f"doc_id {kind}, part int, inside long, n_tokens long, tokens array<int>").parquet(path)
 
-    Totals of the parts, one row for each, place them; running totals place each document in its part. Rows of one id and length are interchangeable.
-    """
-    rows = stored.select("doc_id", "part", "n_tokens")
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("t"))
+
+def _placed(rows: DataFrame, stored: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``start``, from their place in a part and the totals of the parts before, one row for each part."""
+    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     before = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), *columns)
+
+
+def token_index(stored: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens`` of written tokens: ``start`` counts the ids of all documents before. The ids themselves are not read, nothing is sorted."""
+    return _placed(stored.select("doc_id", "part", "inside", "n_tokens"), stored, "n_tokens")
 
 
 def token_checksums(stored: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of written tokens; the checksum is that of the ids as little-endian unsigned 32-bit integers."""
+    """``doc_id, start, n_tokens, ids_crc32`` of written tokens; the checksum is that of the ids as little-endian unsigned 32-bit integers, taken from the ids as they are read, and ``n_tokens`` is their count."""
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +126,14 @@ def token_checksums(stored: DataFrame) -> DataFrame:
             lists = batch.column(3)
             offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4", copy=False)
             crc = [zlib.crc32(memoryview(flat[a:b]).cast("B")) if b > a else 0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "inside", "n_tokens", "ids_crc32"])
 
-    rows = stored.select("doc_id", "part", "n_tokens", "tokens").mapInArrow(sums, f"doc_id {kind}, part int, n_tokens long, ids_crc32 long")
-    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("t"))
-    before = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+    rows = stored.select("doc_id", "part", "inside", "tokens").mapInArrow(sums, f"doc_id {kind}, part int, inside long, n_tokens long, ids_crc32 long")
+    return _placed(rows, stored, "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the tokens of ``docs`` in the shared folder; give the table as it is read back."""
-    spark = docs.sparkSession
-    path = new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, pattern, end_id)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return spark.read.schema(f"doc_id {kind}, part int, n_tokens long, tokens array<int>").parquet(path)
+    path = new_path(docs.sparkSession, "tokens")
+    write_tokens(docs, path, tokenizer, end_id)
+    return read_tokens(docs.sparkSession, path, docs.schema["doc_id"].dataType.simpleString())

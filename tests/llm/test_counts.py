@@ -10,11 +10,12 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from prismcol.llm import token_output
 from prismcol.llm.mixing import mix_documents, mix_taken, source_targets
 from prismcol.llm.quality import quality_rules, repeated_words
 from prismcol.llm.sharding import shard_by_bytes
 from prismcol.llm.token_count import PairCounter, token_counts
-from prismcol.llm.token_output import _encoder, encode_and_read, token_checksums, token_index
+from prismcol.llm.token_output import _encoder, encode_and_read, read_tokens, segments, token_checksums, token_index, write_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -91,10 +92,10 @@ def test_token_counts(odd, none):
 
 
 def test_token_output(documents, odd, none):
-    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 0
+    args = public_tokenizers.path("byte_bpe_50k.json"), 0
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     spark = documents.sparkSession
-    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "<|endoftext|><|endoftext|>", "x" * 300 + " <|endoftext|", "a \x1c b\u00a0 c\u2003\n\u0085d e", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", ""])], "doc_id long, text string")
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["<|endoftext|> a", "<|endoftext|><|endoftext|>", "x" * 300 + " <|endoftext|", "a \x1c b\u00a0 c\u2003\n\u0085d e", "a<|endoftext|>", "  x \n\n y  ", "日本🎉", "don't we'LL 12345", "\u0000\u001f", "\u0558\u088f a\u0c5cb", ""])], "doc_id long, text string")
     stored = encode_and_read(documents.select("doc_id", "text").unionByName(extra), *args)
     start = 0
     sums = {r["doc_id"]: r for r in token_checksums(stored).collect()}
@@ -102,17 +103,62 @@ def test_token_output(documents, odd, none):
     for r in sorted(stored.collect(), key=lambda r: r["doc_id"]):
         assert sums[r["doc_id"]]["start"] == index[r["doc_id"]]["start"] == start
         assert sums[r["doc_id"]]["ids_crc32"] == zlib.crc32(np.array(r["tokens"], "<u4").tobytes())
+        assert sums[r["doc_id"]]["n_tokens"] == index[r["doc_id"]]["n_tokens"] == len(r["tokens"])
         start += len(r["tokens"])
     texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").unionByName(extra).collect()}
     assert all(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [0] == r["tokens"] for r in stored.collect())
     rows = token_checksums(encode_and_read(odd, *args)).collect()
     assert len(rows) == 10 and min(r["n_tokens"] for r in rows) == 1 and token_checksums(encode_and_read(none, *args)).count() == 0
-
-
-def test_encoder_agrees_with_library():
+    named = documents.select(F.concat(F.lit("id"), F.col("doc_id")).alias("doc_id"), "text").limit(20)
+    by_id = sorted(token_checksums(encode_and_read(named, *args)).collect(), key=lambda r: r["doc_id"])
+    assert [r["start"] for r in by_id] == [sum(x["n_tokens"] for x in by_id[:i]) for i in range(20)]
+
+
+def test_rows_of_one_id_fill_several_parts_in_order(spark):
+    rows = [(7, f"text {i}") for i in range(200)] + [(7, "text 3")] * 50 + [(1, "a"), (9, "b")]
+    stored = encode_and_read(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    assert stored.where("doc_id = 7").select("part").distinct().count() > 1
+    got = sorted(token_checksums(stored).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1] + [7] * 250 + [9] and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_token_files_allow_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("the of and cat dog house").strip() + str(rng.randrange(99)) for _ in range(400))) for i in range(3000)], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    write_tokens(docs, f"file://{path}", public_tokenizers.path("byte_bpe_50k.json"), 0)
+    files = sorted(tmp_path.glob("tokens/part-*.parquet"))
+    assert len(files) == 4
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert any("DICTIONARY" in e or e.startswith("DELTA") for e in columns["tokens"].encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values()) and columns["doc_id"].statistics.has_min_max
+            assert meta.row_group(g).total_byte_size <= 17 << 20
+    some = read_tokens(spark, f"file://{path}").where("doc_id between 1500 and 1510").select("doc_id", "n_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1500)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+    assert [r["doc_id"] for r in some.orderBy("doc_id").collect()] == list(range(1500, 1511))
+
+
+def test_segments_do_not_change_ids():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encode, rng = Tokenizer.from_file(path), _encoder(path, public_tokenizers.PATTERN), random.Random(5)
-    alphabet = [*" \n\t\r\x1c\x1f\x85\xa0 　'sat1.,-<|>éя日🎉_", "  ", "<|endoftext|>", "'re", " the"]
-    for _ in range(5000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(14)))
-        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    alphabet = [*" \n\t\r\x1c\x1f\x85\xa0 　'sat1.,-<|>éя日🎉_\u0558\u088f", "  ", "<|endoftext|>", "'re", " the", " cat", " a b"]
+    cut = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        parts = list(segments(text, rng.randrange(1, 9)))
+        cut += len(parts) > 1
+        assert "".join(parts) == text
+        assert [i for p in parts for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+    assert cut > 500
+    old, token_output.SEGMENT = token_output.SEGMENT, 50
+    try:
+        text = "some words of a text, and more " * 30
+        assert _encoder(path)([text, ""])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    finally:
+        token_output.SEGMENT = old
