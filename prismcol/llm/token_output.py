@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,57 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_level import ByteLevelEncoder, character_classes, library
 from .common import bound_batches, fresh, new_path
+from .hashing import utf8
 
 #: Row groups are small enough to be skipped by their statistics one by one, pages by the page index; the second
 #: writer version stores ids as dictionary codes, or as deltas where a dictionary does not pay.
 LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
-CHARS_AT_ONCE = 1 << 20
-#: Characters from which a text is encoded in segments.
-SEGMENT = 1 << 20
-#: A byte-level tokenizer's pieces never reach over this place: a word of ASCII letters ends, and the next starts with its space.
-SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-
-
-def segments(text: str, size: int) -> Iterator[str]:
-    """The text in segments of ``size`` characters and some more, cut where no piece of the tokenizer reaches over; their ids, joined, are the text's."""
-    at = 0
-    while len(text) - at > size:
-        cut = SAFE.search(text, at + size)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
-
-
-def _encoder(tokenizer: str):
-    """A function that gives for each whole text its ids, as arrays; one in each Python worker.
-
-    All ids come from the tokenizers library, to which the texts are given whole. Very long ones are given in segments, which bounds
-    the library's own memory and changes no id.
-    """
+BYTES_AT_ONCE = 4 << 20
+
+
+def _encoder(tokenizer: str, classes: list[tuple[int, int]] | None):
+    """A function that gives the ids of UTF-8 texts, one after the other, with an end id each, and their numbers; one in each Python worker."""
     import builtins
 
     kept = builtins.__dict__.setdefault("_prismcol_encoders", {})
-    if tokenizer in kept:
-        return kept[tokenizer]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    if tokenizer not in kept:
+        if classes is not None:
+            kept[tokenizer] = ByteLevelEncoder(tokenizer, classes).batch
+        else:
+            given = library(tokenizer)
 
-    library = Tokenizer.from_file(tokenizer)
+            def encode(texts: list[memoryview], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+                found = [np.array([*e.ids, end_id], np.int32) for e in given.encode_batch_fast([bytes(t).decode() for t in texts], add_special_tokens=False)]
+                return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if any(len(t) > SEGMENT for t in texts):
-            return [np.concatenate([np.array(library.encode_batch_fast([s], add_special_tokens=False)[0].ids, np.int32) for s in segments(t, SEGMENT)]) for t in texts]
-        return [np.array(e.ids, np.int32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    kept[tokenizer] = encode
-    return encode
+            kept[tokenizer] = encode
+    return kept[tokenizer]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Encode each whole text with the byte-level tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, inside, n_tokens, tokens`` at ``path``.
+    """Encode each whole text with the tokenizer of a file of the tokenizers library, without added special tokens, append ``end_id``, and write ``doc_id, part, inside, n_tokens, tokens`` at ``path``.
+
+    All ids are the library's. Texts of a byte-level tokenizer are cut into its pieces for a whole batch at once, and the library is given each piece that a
+    worker's store does not know (see ``byte_level``); other tokenizers are given whole texts.
 
     Documents are range-partitioned by id, null first, and sorted: file after file, the ids are in document order.
     ``part`` is the place of a file in that order, ``inside`` the number of ids before the document in its part. A null text counts as empty and has the end id alone. Rows of one id
@@ -70,23 +51,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     Other columns are not written. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    classes = character_classes(tokenizer)  # some thousands of pairs
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, inside = _encoder(tokenizer), 0
-        end = np.array([end_id], np.int32)
+        ids_of, inside = _encoder(tokenizer, classes), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t if t is not None else memoryview(b"") for t in utf8(batch.column(2))]
             at = 0
             while at < len(texts):
                 upto, n = at, 0
-                while upto < len(texts) and n < CHARS_AT_ONCE:
+                while upto < len(texts) and n < BYTES_AT_ONCE:
                     n += len(texts[upto])
                     upto += 1
-                found = ids_of(texts[at:upto])
-                offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found])])
-                flat = pa.array(np.concatenate([x for ids in found for x in (ids, end)]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                columns = [batch.column(0)[at:upto], batch.column(1)[at:upto], pa.array(inside + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), lists]
+                flat, counts = ids_of(texts[at:upto], end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                columns = [batch.column(0)[at:upto], batch.column(1)[at:upto], pa.array(inside + offsets[:-1], pa.int64()), pa.array(counts, pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "inside", "n_tokens", "tokens"])
                 inside += int(offsets[-1])
                 at = upto

@@ -10,12 +10,12 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prismcol.llm import token_output
+from prismcol.llm import byte_level
 from prismcol.llm.mixing import mix_documents, mix_taken, source_targets
 from prismcol.llm.quality import quality_rules, repeated_words
 from prismcol.llm.sharding import shard_by_bytes
 from prismcol.llm.token_count import PairCounter, token_counts
-from prismcol.llm.token_output import _encoder, encode_and_read, read_tokens, segments, token_checksums, token_index, write_tokens
+from prismcol.llm.token_output import encode_and_read, read_tokens, token_checksums, token_index, write_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -144,21 +144,35 @@ def test_token_files_allow_selective_reads(spark, tmp_path):
     assert [r["doc_id"] for r in some.orderBy("doc_id").collect()] == list(range(1500, 1511))
 
 
-def test_segments_do_not_change_ids():
+def test_encoder_agrees_with_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, rng = Tokenizer.from_file(path), random.Random(5)
-    alphabet = [*" \n\t\r\x1c\x1f\x85\xa0 　'sat1.,-<|>éя日🎉_\u0558\u088f", "  ", "<|endoftext|>", "'re", " the", " cat", " a b"]
-    cut = 0
-    for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
-        parts = list(segments(text, rng.randrange(1, 9)))
-        cut += len(parts) > 1
-        assert "".join(parts) == text
-        assert [i for p in parts for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
-    assert cut > 500
-    old, token_output.SEGMENT = token_output.SEGMENT, 50
-    try:
-        text = "some words of a text, and more " * 30
-        assert _encoder(path)([text, ""])[0].tolist() == library.encode(text, add_special_tokens=False).ids
-    finally:
-        token_output.SEGMENT = old
+    classes = byte_level.character_classes(path)
+    encoder, rng = byte_level.ByteLevelEncoder(path, classes), random.Random(5)
+    alphabet = [*" \n\t\r\x1c\x1f\x85\xa0\u2003\u3000'sat1.,-<|>éя日🎉_\u0558\u088f\u0301\u200b²Ⅷ", "  ", "<|endoftext|>", "<|endof", "text|>", "'re", "'ll", "'ve", "'d", "'s", " the", " cat", " a b"]
+    any_of = lambda: chr(rng.choice([x for x in (rng.randrange(0x110000), rng.randrange(0x3000)) if not 0xD800 <= x < 0xE000] or [65]))
+    old = byte_level.AT_ONCE
+    for at_once in (old, 12):
+        byte_level.AT_ONCE = at_once
+        try:
+            for i in range(1500):
+                texts = ["".join(any_of() if i % 3 == 0 else rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 6))]
+                ids, counts = encoder.batch([memoryview(t.encode()) for t in texts], 0)
+                want = [encoder.library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+                assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+        finally:
+            byte_level.AT_ONCE = old
+
+
+def test_store_may_be_as_small_as_it_likes(documents, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(byte_level, "SLOT_BITS", 4)
+    encoder = byte_level.ByteLevelEncoder(path, byte_level.character_classes(path))
+    for r in documents.limit(40).collect():
+        assert encoder.batch([memoryview((r["text"] or "").encode())], None)[0].tolist() == encoder.library.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_given_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert byte_level.character_classes(path) is None
+    stored = encode_and_read(spark.createDataFrame([(1, "Some words"), (2, None)], "doc_id long, text string"), path, 7)
+    assert {r["doc_id"]: r["tokens"] for r in stored.collect()} == {1: Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids + [7], 2: [7]}
