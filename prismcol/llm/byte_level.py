@@ -15,11 +15,11 @@ import numpy as np
 from .hashing import BASE, mix
 
 LETTER, NUMBER, OTHER, WHITE = range(4)
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: Ids that a slot of the store holds; a piece with more is encoded again in each batch.
 WIDTH = 8
 #: Bytes of text that are cut and looked up together; longer texts are given in segments.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: No piece reaches over this place: a word of ASCII letters ends, and the next starts with its space.
 SAFE = re.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])")
 
