@@ -42,25 +42,37 @@ def jaccard(width: int = 4, percent: int = 85) -> str:
 
 
 def quality() -> str:
-    from .quality import FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS
+    from .quality import MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS, SUPPORT
 
-    ids = {m: k for k, m in enumerate(MEASURES)}
-    value = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "1000 * word_chars // greatest(n_words, 1)"}
-    long = " union all ".join(f"select lang, source, {k} as m, m_{m} as v from b where not base_failed" for m, k in ids.items())
-    allowed = "case m " + " ".join(f"when {ids[m]} then {'q2 // 2' if d is None else d}" for m, d in MEASURES.items()) + " end"
-    bad = " or ".join(f"coalesce(m_{m} > (select hi from f where f.lang is not distinct from b.lang and f.source is not distinct from b.source and m = {k}), false)" + (f" or coalesce(m_{m} < (select lo from f where f.lang is not distinct from b.lang and f.source is not distinct from b.source and m = {k}), false)" if MEASURES[m] is None else "") for m, k in ids.items())
+    sketched = [*MEASURES, *sorted({m[1] for m in MEASURES.values()})]
+    value = {m: f"1000 * {c} // greatest({of}, 1)" for m, (c, of, *_) in MEASURES.items()}
+    long = " union all ".join(f"select lang, source, '{m}' as m, {'m_' + m if m in MEASURES else m} as v from b where not base_failed" for m in sketched)
+    permille = lambda k: "case m " + " ".join(f"when '{m}' then {p[k]}" for m, p in MEASURES.items()) + " else 500 end"
+    fences = []
+    for m, (_, of, _, _, fence, least) in MEASURES.items():
+        slack = f"{m}.mid // 8" if least is None else f"{1000 * least} // greatest({of}.mid, 1)"
+        spread = f"greatest({fence} * ({m}.top - {m}.bottom), {slack})"
+        fences.append(f"{m}.top + {spread} as hi_{m}, {m}.bottom - {spread} as lo_{m}")
+    bad = " or ".join(f"m_{m} > hi_{m}" + (f" or m_{m} < lo_{m}" if MEASURES[m][-1] is None else "") for m in MEASURES)
+    level = lambda keys: f"""select {', '.join([*keys, 'm'])}, max(t) as t, struct_pack(top := min(case when 1000 * c >= ({permille(2)}) * t then k end), bottom := min(case when 1000 * c >= ({permille(3)}) * t then k end), mid := min(case when 1000 * c >= 500 * t then k end)) as q
+        from (select *, sum(n) over (partition by {', '.join([*keys, 'm'])} order by k) as c, sum(n) over (partition by {', '.join([*keys, 'm'])}) as t from (select {', '.join([*keys, 'm'])}, k, count(*) as n from x group by all)) group by {', '.join([*keys, 'm'])}"""
+    enough = lambda t: f"{t}.t * (1000 - ({permille(2).replace('case m', f'case {t}.m')})) >= {SUPPORT * 1000}"
     return f"""
     with d as (select doc_id, lang, source, coalesce(text, '') as text, {_SPACED} as ws from documents),
     g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d where len(ws) > 2)),
     again as (select doc_id, count(distinct p) as r from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, t) as c from g) where c > 1) group by 1),
     ls as (select doc_id, count(*) as n, count(*) - count(distinct l) as dup from (select doc_id, unnest(string_split(text, chr(10))) as l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1),
     a as (select d.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols, coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_lines, coalesce(r, 0) as n_repeat_words from d left join again using (doc_id) left join ls using (doc_id)),
-    b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {', '.join(f'{value[m]} as m_{m}' for m in MEASURES)} from a),
+    b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {', '.join(f'{v} as m_{m}' for m, v in value.items())} from a),
     x as (select lang, source, m, case when v < 64 then v else (v >> (len(bin(v)) - 6)) << (len(bin(v)) - 6) end as k from ({long})),
-    y as (select lang, source, m, k, sum(count(*)) over (partition by lang, source, m order by k) as c, sum(count(*)) over (partition by lang, source, m) as t from x group by 1, 2, 3, 4),
-    z as (select lang, source, m, min(case when 4 * c >= t then k end) as q1, min(case when 4 * c >= 2 * t then k end) as q2, min(case when 4 * c >= 3 * t then k end) as q3 from y group by 1, 2, 3),
-    f as (select lang, source, m, greatest(q3 + {FENCE} * (q3 - q1), q2 + {allowed}) as hi, least(q1 - {FENCE} * (q3 - q1), q2 - {allowed}) as lo from z)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({bad}) as kept from b"""
+    q0 as ({level(['lang', 'source'])}),
+    q1 as ({level(['lang'])}),
+    q2 as ({level([])}),
+    q as (select q0.lang, q0.source, q0.m, case when {enough('q0')} then q0.q when {enough('q1')} then q1.q else q2.q end as q from q0 join q1 on q0.lang is not distinct from q1.lang and q0.m = q1.m join q2 on q0.m = q2.m),
+    w as (select lang, source, {', '.join(f"any_value(q) filter (m = '{m}') as {m}" for m in sketched)} from q group by 1, 2),
+    f as (select lang, source, {', '.join(fences)} from w)
+    select b.doc_id, b.n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce({bad}, false) as kept
+    from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source"""
 
 
 def mixing(seed: str = "mix") -> str:

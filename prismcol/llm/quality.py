@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, fresh, let, materialise, small, words
 
-#: Measures in thousandths, each with the widest distance from the group's median that is always allowed:
-#: a group without spread would otherwise reject every small deviation.
-MEASURES = {"symbols": 200, "dup_lines": 500, "repeats": 350, "word_length": None}
-#: Interquartile ranges above the upper quartile (for word_length: also below the lower one) from which a value is an outlier.
-FENCE = 4
+#: Measures, in thousandths: what is counted, and of how many; the upper and the lower quantile (per mille) between which the group's
+#: spread lies; how many spreads above the upper one are still accepted; and the least distance that is, as so many counts in a
+#: document of the group's median length (None: an eighth of the group's median, and values far below the lower quantile are outliers too).
+#: Junk may be a quarter of a group without moving quartiles; repetitions are rare and harmless in small numbers, so their tail is what sets their fence.
+MEASURES = {
+    "symbols": ("n_symbols", "n_words", 750, 250, 4, 10),
+    "dup_lines": ("n_dup_lines", "n_lines", 990, 500, 1, 1),
+    "repeats": ("n_repeat_words", "n_words", 990, 500, 1, 6),
+    "word_length": ("word_chars", "n_words", 750, 250, 4, None),
+}
+#: A quantile is taken from a group with so many rows beyond it, else from all of the language, else from all rows.
+SUPPORT = 20
 #: Groups up to which their fences, some 100 bytes each, are broadcast; beyond, they are joined by shuffles.
 MOST_GROUPS = 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -68,8 +75,9 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     of equal language and source (null is a value of its own) gets a log-linear histogram of each measure: values below
     64 have a bucket each, larger ones keep their six leading bits, so quantiles are at most 1/32 too low. Such
     sketches merge by adding counts, in any order to the same result, and one row for each bucket is all that is shuffled,
-    however large a group is. Documents that fail the base rules do not count for the sketches. A document is
-    rejected where symbols, repeated lines or repeated words lie above the group's upper fence, or its mean word length outside both fences.
+    however large a group is. Sketches of groups are merged to those of languages and of all rows, from which groups too small for
+    a quantile take theirs. Documents that fail the base rules do not count for the sketches. All fences come from the sketches (MEASURES): a document is
+    rejected where symbols, repeated lines or repeated words lie above the upper fence, or its mean word length outside both fences.
 
     Null, empty and blank texts have no words and fail. Repeated rows count and are judged each. An empty
     table gives none. Columns of the input with the names of results are replaced.
@@ -78,44 +86,54 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     kept_columns = [c for c in (carry or docs.columns) if c.lower() not in names]
     lang, source, fence, *values = fresh(docs, "g_lang", "g_source", "fence", *(f"m_{m}" for m in MEASURES))
     counts = docs.select(*kept_columns, F.col("lang").alias(lang), F.col("source").alias(source), *(v.alias(k) for k, v in base_counts(docs["text"]).items()))
-    per_word = lambda c: F.expr(f"1000 * {c} div greatest(n_words, 1)")
-    measure = {
-        "symbols": per_word("n_symbols"),
-        "dup_lines": F.expr("1000 * n_dup_lines div greatest(n_lines, 1)"),
-        "repeats": per_word("n_repeat_words"),
-        "word_length": per_word("word_chars"),
-    }
+    measure = {m: F.expr(f"1000 * {c} div greatest({of}, 1)") for m, (c, of, *_) in MEASURES.items()}
     counts = materialise(
         counts.withColumns({v: measure[m] for v, m in zip(values, MEASURES, strict=True)}).withColumn(
             "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
         ),
         "quality",
     )
-    fences = materialise(thresholds(counts.where(~F.col("base_failed")).select(F.col(lang).alias("l"), F.col(source).alias("s"), *(F.col(v).alias(m) for v, m in zip(values, MEASURES, strict=True)))), "fences")
+    fences = materialise(thresholds(counts.where(~F.col("base_failed")).select(F.col(lang).alias("l"), F.col(source).alias("s"), "n_words", "n_lines", *(F.col(v).alias(m) for v, m in zip(values, MEASURES, strict=True)))), "fences")
     fences, _ = small(fences.select(F.struct(*fences.columns).alias(fence)), MOST_GROUPS)
     bad = F.lit(False)
     for v, m in zip(values, MEASURES, strict=True):
         bad = bad | F.coalesce(F.col(v) > F.col(f"{fence}.hi_{m}"), F.lit(False))
-        if MEASURES[m] is None:
+        if MEASURES[m][-1] is None:
             bad = bad | F.coalesce(F.col(v) < F.col(f"{fence}.lo_{m}"), F.lit(False))
     joined = counts.join(fences, F.col(lang).eqNullSafe(F.col(f"{fence}.l")) & F.col(source).eqNullSafe(F.col(f"{fence}.s")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad).select(*kept_columns, *names)
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """For each group ``l``, ``s``: ``hi_<measure>`` and ``lo_<measure>`` from the measures' sketches."""
-    pairs = ", ".join(f"'{m}', {m}" for m in MEASURES)
-    v = rows.selectExpr("l", "s", f"stack({len(MEASURES)}, {pairs}) as (measure, v)")
+    """For each group ``l``, ``s`` of ``rows`` (measures, ``n_words``, ``n_lines``): ``hi_<measure>`` and ``lo_<measure>`` from the measures' sketches."""
+    lengths = sorted({of for _, of, *_ in MEASURES.values()})
+    sketched = [*MEASURES, *lengths]
+    v = rows.selectExpr("l", "s", f"stack({len(sketched)}, {', '.join(f"'{m}', {m}" for m in sketched)}) as (measure, v)")
     bits = "length(bin(v)) - 6"
-    sketch = v.groupBy("l", "s", "measure", F.expr(f"case when v < 64 then v else shiftleft(shiftright(v, {bits}), {bits}) end").alias("bucket")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("l", "s", "measure")
-    upto = sketch.withColumn("c", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    at = lambda k: F.min(F.when(4 * F.col("c") >= k * F.col("total"), F.col("bucket")))
-    q = upto.groupBy("l", "s", "measure").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
-    spread = F.expr(f"{FENCE} * (q3 - q1)")
-    allowed = F.lit(None).cast("long")
-    for m, d in MEASURES.items():
-        allowed = F.when(F.col("measure") == m, F.expr("q2 div 2") if d is None else F.lit(d).cast("long")).otherwise(allowed)
-    q = q.withColumn("hi", F.greatest(F.col("q3") + spread, F.col("q2") + allowed)).withColumn("lo", F.least(F.col("q1") - spread, F.col("q2") - allowed))
-    pick = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
-    return q.groupBy("l", "s").agg(*(pick(c, m) for m in MEASURES for c in ("hi", "lo")))
+    own = v.groupBy("l", "s", "measure", F.expr(f"case when v < 64 then v else shiftleft(shiftright(v, {bits}), {bits}) end").alias("bucket")).agg(F.count("*").alias("n"))
+    own = materialise(own, "sketches")
+    upper, lower = (F.lit(500) for _ in range(2))
+    for m, (_, _, top, bottom, *_) in MEASURES.items():
+        upper, lower = F.when(F.col("measure") == m, F.lit(top)).otherwise(upper), F.when(F.col("measure") == m, F.lit(bottom)).otherwise(lower)
+
+    def quantiles(keys: list[str], level: int) -> DataFrame:
+        sketch = own.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+        by = Window.partitionBy(*keys, "measure")
+        upto = sketch.withColumn("c", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
+        at = lambda p: F.min(F.when(1000 * F.col("c") >= p * F.col("total"), F.col("bucket")))
+        q = upto.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(upper).alias("top"), at(lower).alias("bottom"), at(F.lit(500)).alias("mid"))
+        enough = F.lit(True) if not keys else F.col("total") * (1000 - upper) >= SUPPORT * 1000
+        return q.select(*(F.col(k).alias(f"{k}{level}") for k in keys), F.col("measure").alias(f"measure{level}"), F.when(enough, F.struct("top", "bottom", "mid")).alias(f"q{level}"))
+
+    # As many rows as groups and measures, and fewer; those of languages and of all rows are joined to those of groups.
+    q = quantiles(["l", "s"], 0)
+    q = q.join(quantiles(["l"], 1), F.col("l0").eqNullSafe(F.col("l1")) & (F.col("measure0") == F.col("measure1"))).join(quantiles([], 2), F.col("measure0") == F.col("measure2"))
+    q = q.select(F.col("l0").alias("l"), F.col("s0").alias("s"), F.col("measure0").alias("measure"), F.coalesce("q0", "q1", "q2").alias("q"))
+    pick = lambda m: F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m)
+    q = q.groupBy("l", "s").agg(*(pick(m) for m in sketched))
+    out = []
+    for m, (_, of, _, _, fence, least) in MEASURES.items():
+        slack = f"{m}.mid div 8" if least is None else f"{1000 * least} div greatest({of}.mid, 1)"
+        spread = f"greatest({fence} * ({m}.top - {m}.bottom), {slack})"
+        out += [F.expr(f"{m}.top + {spread}").alias(f"hi_{m}"), F.expr(f"{m}.bottom - {spread}").alias(f"lo_{m}")]
+    return q.select("l", "s", *out)
