@@ -76,7 +76,7 @@ def quality() -> str:
 
 
 def mixing(seed: str = "mix") -> str:
-    from .mixing import MIX_PERCENT, MOST_REPEATS, WEIGHTS
+    from .mixing import BLOCK, GOLDEN, MIX_PERCENT, MOST_REPEATS, POINTS, WEIGHTS
 
     return f"""
     with d as (select doc_id, source, cast(len({_SPACED}) as bigint) as size from documents),
@@ -84,6 +84,15 @@ def mixing(seed: str = "mix") -> str:
     w as (select *, ([{', '.join(map(str, WEIGHTS))}])[(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as weight, {MOST_REPEATS} * source_size as cap, (sum(source_size) over ())::bigint * {MIX_PERCENT / 100}::double as budget from s),
     l as (select *, cap / weight as level_of, row_number() over (order by cap / weight, source nulls last) as k, (budget - coalesce((sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding))::bigint, 0)) / ((sum(weight) over ())::bigint - coalesce((sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding))::bigint, 0)) as level from w),
     t as (select source, source_size, coalesce(least(cap::double, (select arg_min(level, k) from l where level * weight < cap) * weight), cap::double) as target from l),
-    p as (select d.*, sum(size) over (partition by source order by md5('{seed}' || doc_id), size rows between unbounded preceding and current row) - size as start from d)
-    select doc_id, size, source_size, target, case when source_size = 0 then 0 else size * (round(target)::bigint // source_size) + greatest(0, least(start + size, round(target)::bigint % source_size) - start) end::bigint as taken
-    from p join t on p.source is not distinct from t.source"""
+    p as (select d.*, sum(size) over (partition by source order by md5('{seed}' || doc_id), size rows between unbounded preceding and current row) - size as start from d),
+    b as (select source, source_size, round(target)::bigint as words, (source_size + {BLOCK - 1}) // {BLOCK} as blocks from t where source_size > 0),
+    c as (select *, (words // source_size * blocks + (words % source_size + {BLOCK - 1}) // {BLOCK})::bigint as slots from b),
+    e as (select *, (sum(slots) over (order by source nulls last))::bigint as upto, (sum(slots) over ())::bigint as n from c),
+    f as (select *, floor((upto - slots) / n * {POINTS}.0::double)::bigint as lo, floor(upto / n * {POINTS}.0::double)::bigint as hi from e),
+    i as (select i, i % {POINTS} * {GOLDEN} % {POINTS} as u from (select unnest(range((select max(n) from e))) as i)),
+    r as (select source, i as slot, row_number() over (partition by source order by i) - 1 as rank from i join f on lo <= u and u < hi),
+    r2 as (select * from r union all select source, n + rank as slot, rank from (select f.source, f.n, unnest(range(coalesce(g, 0), f.slots)) as rank from f left join (select source, count(*) as g from r group by 1) h on f.source is not distinct from h.source)),
+    x as (select f.source, slot, rank % blocks * {BLOCK} as lo, least((rank % blocks + 1) * {BLOCK}, source_size, words - rank // blocks * source_size) as hi from r2 join f on f.source is not distinct from r2.source where rank < slots),
+    y as (select p.doc_id, p.start, sum(greatest(0, least(hi, start + size) - greatest(lo, start))) as taken, min(slot) as first_slot, max(slot) as last_slot from p join x on p.source is not distinct from x.source and start < hi and lo < start + size group by 1, 2)
+    select p.doc_id, p.size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, last_slot
+    from p join t on p.source is not distinct from t.source left join y on p.doc_id = y.doc_id and p.start = y.start and p.size > 0"""
