@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -31,14 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths that new_path gave, for those who want to remove what an operator has left.
-created: list[str] = []
+_collecting = threading.local()
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that new_path gives while in it, in this thread, for those who want to remove what an operator has left."""
+    before, mine = getattr(_collecting, "paths", ()), []
+    _collecting.paths = (*before, mine)
+    try:
+        yield mine
+    finally:
+        _collecting.paths = before
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    created.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return created[-1]
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_collecting, "paths", ()):
+        paths.append(path)
+    return path
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:
@@ -56,8 +69,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in created:
-            created.remove(path)
 
 
 @contextmanager
@@ -101,6 +112,16 @@ def small(frame: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(frame) if ok else frame), ok
 
 
+SALTS = 32
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """``many`` joined to ``one``, which has a row for each ``key``; rows of one key are dealt to ``salts`` parts, so none has all of a hot one."""
+    (salt,) = fresh(many.select(*many.columns, *(F.lit(None).alias(c) for c in one.columns if c not in many.columns)), "salt")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    return dealt.join(one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt]).drop(salt)
+
+
 def words(text: Column) -> Column:
     """The white-space separated words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

@@ -37,8 +37,9 @@ def jaccard(width: int = 4, percent: int = 85) -> str:
     c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
     e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
     u as (select a, b from e union all select b, a from e),
-    r as (select doc_id as a, doc_id as b from d union select r.a, u.b from r join u on r.b = u.a)
-    select r.a as doc_id, coalesce(max(n), 0) as n_shingles, min(r.b) as component_id from r left join n on n.doc_id = r.a group by 1"""
+    r as (select doc_id as a, doc_id as b from d union select r.a, u.b from r join u on r.b = u.a),
+    f as (select a, count(*) as f from u group by 1)
+    select r.a as doc_id, coalesce(max(n), 0) as n_shingles, min(r.b) as component_id, coalesce(max(f), 0) as n_links from r left join n on n.doc_id = r.a left join f on f.a = r.a group by 1"""
 
 
 def quality() -> str:

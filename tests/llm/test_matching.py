@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from prismcol.llm import jaccard_join
 from prismcol.llm.common import materialise
 from prismcol.llm.components import connected_components
 from prismcol.llm.decontamination import decontaminate
@@ -37,7 +38,7 @@ def brute_components(texts, width=4, percent=85):
     for d, t in texts.items():
         w = WORD.findall((t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
         sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-    parent = {d: d for d in sets}
+    parent, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
 
     def root(x):
         while parent[x] != x:
@@ -50,10 +51,12 @@ def brute_components(texts, width=4, percent=85):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
-    return {d: (len(sets[d]), root(d)) for d in ids}
+                links[a] += 1
+                links[b] += 1
+    return {d: (len(sets[d]), root(d), links[d]) for d in ids}
 
 
-def test_similarity_classes(spark, odd, none):
+def test_similarity_classes(spark, odd, none, monkeypatch):
     rng = random.Random(5)
     base = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (4, 5, 20, 60, 150, 150)]
     texts = {}
@@ -63,14 +66,33 @@ def test_similarity_classes(spark, odd, none):
             w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
         texts[i] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity_classes(df).collect()}
-    assert got == brute_components(texts)
-    assert {r["doc_id"] for r in drop_similar(df).collect()} == {c for _, c in got.values()}
+    as_rows = lambda x: {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in similarity_classes(x).collect()}
+    want = brute_components(texts)
+    assert as_rows(df) == want
+    for hot in (2, 10_000):  # all shared shingles by stars, and none
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        assert as_rows(df) == want
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2000)  # components of many blocks
+    assert as_rows(df) == want
+    named = df.select(F.format_string("d%04d", "doc_id").alias("doc_id"), "text")
+    assert as_rows(named) == {f"d{d:04d}": (n, f"d{c:04d}", k) for d, (n, c, k) in want.items()}
+    assert {r["doc_id"] for r in drop_similar(df).collect()} == {c for _, c, _ in want.values()}
     rows = similarity_classes(odd).collect()
     assert len(rows) == 10 and {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] in (2, 3, 4, 6, 8)} == {(2, 0, 2), (3, 0, 3), (4, 0, 4), (6, 1, 6), (8, 9, 7)}
     assert similarity_classes(none).count() == 0 and drop_similar(none).count() == 0 and len(drop_similar(odd).collect()) == 8
 
 
+def test_drop_similar_goes_by_rows(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    near = text[0].rsplit(" ", 1)[0] + " other"
+    rows = [(5, text[0], "a"), (None, text[0], "b"), (7, near, "c"), (5, text[1], "d"), (None, text[2], "e"), (None, text[2] + " x", "f"), (None, None, "g"), (None, "", "h"), (1, "", "i"), (9, text[3], "j"), (9, text[3], "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    out = sorted(r["rid"] for r in drop_similar(df).collect())
+    assert out in (["a", "d", "e", "g", "h", "i", "j"], ["a", "d", "f", "g", "h", "i", "j"])
+    assert sorted(r["rid"] for r in drop_similar(df.repartition(3)).collect()) == out and drop_similar(df).columns == df.columns
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5000, 5000), (None, 3)]
