@@ -30,17 +30,16 @@ def _shingles_of(ws: Column, width: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The distinct windows of all items: ``wid``, ``wtext`` (words joined by a space), ``len``, ``width`` (of its shingles), ``shingles``, ``items``."""
+    """The windows of all items, a row for each that an item has: ``wid``, ``wtext`` (words joined by a space), ``len``, ``width`` (of its shingles), ``shingles``, ``item``."""
     ws = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     n = F.size("ws")
     each = ws.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))))).withColumn("w", F.slice("ws", F.col("at"), F.least(n, F.lit(window))))
-    each = each.select("item", "w", F.array_join("w", " ").alias("wtext"))
-    out = each.groupBy("wtext").agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
+    out = each.select("item", "w", F.array_join("w", " ").alias("wtext")).dropDuplicates(["item", "wtext"])
     out = out.withColumn("len", F.size("w")).withColumn("width", F.least("len", F.lit(shingle))).withColumn("wid", F.xxhash64("wtext"))
     sets = F.lit(None).cast("array<bigint>")
     for k in range(1, shingle + 1):
         sets = F.when(F.col("width") == k, _shingles_of(F.col("w"), k)).otherwise(sets)
-    return materialise(out.select("wid", "wtext", "len", "width", sets.alias("shingles"), "items"), "windows")
+    return materialise(out.select("wid", "wtext", "len", "width", sets.alias("shingles"), "item"), "windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5) -> DataFrame:
@@ -59,37 +58,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.select(*[c for c in docs.columns if c.lower() not in names])
-    windows = benchmark_windows(benchmark, window, shingle)
-    key, found, d, t = fresh(docs, "text_key", "found", "d", "t")
-    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("x"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    owned = benchmark_windows(benchmark, window, shingle)
+    windows = owned.drop("item").dropDuplicates(["wtext"])
+    key, d, t, hits, items = fresh(docs, "text_key", "d", "t", "hits", "items")
     # Only A-Z is folded, as in windows: lower() would fold a sigma by what stands around its word.
-    folded = windows.select("wid", "len", "width", "wtext", F.split("wtext", " ").alias("w"))
-    widths = [r[0] for r in folded.select("width").distinct().collect()]  # at most as many as a shingle has words
-    sets = F.lit(None).cast("array<bigint>")
-    for k in widths:
-        sets = F.when(F.col("width") == k, _shingles_of(F.col("w"), k)).otherwise(sets)
-    tokens = folded.select("wid", "len", "width", F.posexplode(sets).alias("offset", "h"))
+    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("x"))
+    widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most as many as a shingle has words
+    tokens = windows.select("wid", "len", "width", F.posexplode("shingles").alias("offset", "h"))
     vocabulary, _ = small(tokens.select("h", "width").distinct(), BROADCAST_ROWS)
-    places = None
+    places = docs.sparkSession.createDataFrame([], f"d {kind}, t long, n int, place int, h long, width int")
     for k in widths:
         hashed = keyed.select("d", "t", _shingles_of(F.array_remove(F.split("x", BREAK), ""), k).alias("hs"))
         at = hashed.select("d", "t", F.size("hs").alias("n"), F.posexplode("hs").alias("place", "h"))
         met = at.join(vocabulary.where(F.col("width") == k).select("h"), "h").withColumn("n", F.col("n") + (k - 1)).withColumn("width", F.lit(k))
-        places = met if places is None else places.unionByName(met)
-    empty = docs.sparkSession.createDataFrame([], "d long, t long, n int, place int, h long, width int")
-    places = materialise(places.select("d", "t", "n", "place", "h", "width") if places is not None else empty, "places")
+        places = places.unionByName(met)
+    places = materialise(places, "places")
     rarity = places.groupBy("h", "width").agg(F.count("*").alias("df"))
     prefix = tokens.join(rarity, ["h", "width"], "left").groupBy("wid", "len", "width").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("rarest"))
     prefix, _ = small(prefix.where("rarest.df > 0").select("wid", "len", "width", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset")), BROADCAST_ROWS)
     starts = places.join(prefix, ["h", "width"]).withColumn("start", F.col("place") - F.col("offset")).where("start >= 0 and start + len <= n")
-    texts, _ = small(windows.select("wid", "wtext", "items"), BROADCAST_ROWS)
-    starts = starts.select("d", "t", "wid", "start", "len").distinct().join(texts, "wid")
-    candidates = starts.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "len", "wtext", "items"))).alias(found))
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    candidates = candidates.select(F.col("d").alias(d), F.col("t").alias(t), found)
-    joined = rows.join(candidates, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
-    exact = let(_words(F.col("text")), lambda ws: F.filter(F.col(found), lambda c: F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ") == c["wtext"]))
-    joined = joined.withColumn(found, F.when(F.col(found).isNotNull(), exact))
+    starts = materialise(starts.select("d", "t", "wid", "start", "len").distinct(), "starts")
+    # Texts of documents with a candidate only; keys are broadcast where they are few.
+    wanted, _ = small(starts.select("d", "t").distinct(), BROADCAST_ROWS)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tt"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tt") == F.col("t")), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "tt"])
+    wtexts, _ = small(windows.select("wid", "wtext"), BROADCAST_ROWS)
+    candidates = starts.join(wtexts, "wid").groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "len", "wtext"))).alias("found"))
+    exact = let(_words(F.col("text")), lambda ws: F.filter("found", lambda c: F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ") == c["wtext"]))
 
     def hit(cs: Column) -> Column:
         zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
@@ -100,15 +96,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         return F.aggregate(cs, zero, step)["n"]
 
-    judged = joined.select(
-        *docs.columns,
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
-        F.coalesce(hit(F.col(found)), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda c: c["items"])))), F.array().cast("array<string>")).alias(found),
-    )
-    return judged.select(
+    verified = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tt") == F.col("t"))).select("d", "t", exact.alias("found"))
+    verified = materialise(verified.select("d", "t", hit(F.col("found")).alias(hits), F.array_distinct("found.wtext").alias("met")).where(F.col(hits) > 0), "verified")
+    # Each document's distinct windows, then their items.
+    owners, _ = small(owned.select("wtext", "item"), BROADCAST_ROWS)
+    met = verified.select("d", "t", F.explode("met").alias("wtext")).join(owners, "wtext").select("d", "t", "item").distinct()
+    met = met.groupBy("d", "t").agg(F.array_sort(F.collect_list("item")).alias(items))
+    judged = verified.select(F.col("d").alias(d), F.col("t").alias(t), hits).join(met.select(F.col("d").alias(f"{d}_2"), F.col("t").alias(f"{t}_2"), items), F.col(d).eqNullSafe(F.col(f"{d}_2")) & (F.col(t) == F.col(f"{t}_2"))).select(d, t, hits, items)
+    judged, _ = small(materialise(judged, "judged"), BROADCAST_ROWS // 10)
+    rows = docs.withColumns({key: F.xxhash64("text"), "n_words": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")})
+    joined = rows.join(judged, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
+    joined = joined.withColumns({"n_hit": F.coalesce(hits, F.lit(0).cast("long")), items: F.coalesce(items, F.array().cast("array<string>"))})
+    return joined.select(
         *docs.columns, "n_words", "n_hit",
-        F.size(found).cast("long").alias("n_items"),
-        F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
     )

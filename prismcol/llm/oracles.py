@@ -4,6 +4,23 @@ _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def crc32(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes, byte by byte; the table of 256 remainders is built by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, x: xor(a >> 8, ({table}::bigint[])[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+def sharding(n_shards: int) -> str:
+    return f"""
+    with d as (select doc_id, coalesce(text, '') as text, strlen(coalesce(text, '')) + 16 as size from documents),
+    p as (select *, md5(text) as m, (sum(size) over (order by md5(text), doc_id rows between unbounded preceding and current row))::bigint - size as before, (sum(size) over ())::bigint as total from d),
+    s as (select *, least({n_shards - 1}, (2 * before + size) * {n_shards} // (2 * total))::int as shard from p)
+    select doc_id, size, {crc32('text')} as text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by m, doc_id) - 1 as slot, null::int as grown_shard from s"""
+
+
 def decontamination(window: int = 13) -> str:
     ws = f"regexp_extract_all({_LOWER.format('coalesce(text, ' + repr('') + ')')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
