@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space is space and U+0009 to U+000D; a word is a run of anything else.
-SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]"
+SPACE = r"[\x20\x09\x0A\x0B\x0C\x0D]"
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
