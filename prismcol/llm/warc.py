@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import new_path, small
+from .common import materialise, new_path, small
 
 SCHEMA = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 DATE = "2024-01-01T00:00:00Z"  # of all records: the pages carry none, and reruns are to agree
@@ -60,7 +60,7 @@ class _Committed(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes gzip-packed archives of bounded size. Each task attempt has file names of its own; a manifest names those of the attempts that won."""
+    """Writes gzip-packed archives of bounded size. Each task attempt has file names of its own; a manifest of each write names those of the attempts that won."""
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -89,7 +89,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = _filesystem(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/manifest.json") as f:
+        # A manifest for each write, so that a folder may be written to again.
+        with fs.open_output_stream(f"{base}/manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -104,6 +105,30 @@ class _Files(InputPartition):
         self.names = names
 
 
+class _Record:
+    """A record's bytes, as many as are asked for; the rest is neither read nor inflated."""
+
+    def __init__(self, more) -> None:
+        self.more, self.head = more, b""
+
+    def find(self, mark: bytes, start: int = 0) -> int:
+        """Where ``mark`` is, from ``start`` on; -1 where the record has none."""
+        while (at := self.head.find(mark, start)) < 0:
+            if not self._read():
+                break
+        return at
+
+    def upto(self, end: int) -> bytes:
+        while len(self.head) < end and self._read():
+            pass
+        return self.head[:end]
+
+    def _read(self) -> bool:
+        got = self.more()
+        self.head += got
+        return bool(got)
+
+
 class WarcReader(DataSourceReader):
     """Reads archives file by file. Headers are parsed first; a record that a pushed predicate rules out, and a payload that the
     option ``payload=false`` leaves out, are skipped: the rest of a member is not inflated where its length is known."""
@@ -125,12 +150,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, base = _filesystem(self.path)
-        if fs.get_file_info(f"{base}/manifest.json").type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(f"{base}/manifest.json") as f:
-                names = [name for name, _ in json.loads(f.read())]
-        else:
-            found = fs.get_file_info(pyarrow.fs.FileSelector(base))
-            names = sorted(i.base_name for i in found if i.base_name.endswith((".warc", ".warc.gz")))
+        found = [i.base_name for i in fs.get_file_info(pyarrow.fs.FileSelector(base))]
+        names = []
+        manifests = sorted(x for x in found if x.startswith("manifest-") and x.endswith(".json"))
+        for manifest in manifests:
+            with fs.open_input_stream(f"{base}/{manifest}") as f:
+                names += [name for name, _ in json.loads(f.read())]
+        if not manifests:
+            names = sorted(x for x in found if x.endswith((".warc", ".warc.gz")))
         return [_Files([n]) for n in names] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -143,61 +170,68 @@ class WarcReader(DataSourceReader):
         at, end = 0, f.size()
         while at < end:
             f.seek(at)
-            data = f.read(min(HEAD, end - at))
-            size = int.from_bytes(data[16:20], "little") if data[3] & 4 and data[12:14] == b"sl" else None
-            z = zlib.decompressobj(31)
-            head = z.decompress(data, HEAD)
-            while b"\r\n\r\n" not in head and not z.eof:
-                head += z.decompress(z.unconsumed_tail or f.read(HEAD), HEAD)
-            headers, start = _headers(head)
-            wanted = self._wanted(headers)
-            need = start + int(headers["content-length"]) if wanted and self.payload and headers["warc-type"] == "response" else start + min(int(headers["content-length"]), 4096) if wanted else 0
-            if size is not None and len(head) < need and not z.eof and size > len(data):
-                data += f.read(size - len(data))
-                z = zlib.decompressobj(31)
-                head = z.decompress(data)
-            while (len(head) < need or size is None) and not z.eof:
-                tail = z.unconsumed_tail or f.read(1 << 20)
-                if not tail:
-                    break
-                head += z.decompress(tail)
-            if wanted:
-                yield self._row(headers, head[start : start + int(headers["content-length"])])
-            at = at + size if size is not None else f.tell() - len(z.unused_data)
+            first = f.read(min(HEAD, end - at))
+            size = int.from_bytes(first[16:20], "little") if first[3] & 4 and first[12:14] == b"sl" else None
+            z, given = zlib.decompressobj(31), [first]
+
+            def more() -> bytes:
+                got = b""
+                while not got and not z.eof:  # noqa: B023
+                    data = given.pop() if given else z.unconsumed_tail or f.read(HEAD)  # noqa: B023
+                    if not data:
+                        break
+                    got = z.decompress(data, 1 << 20)  # noqa: B023
+                return got
+
+            record = _Record(more)
+            row = self._row(record)
+            if row is not None:
+                yield row
+            if size is None:
+                while more():
+                    pass
+                at = f.tell() - len(z.unused_data)
+            else:
+                at += size
 
     def _plain(self, f) -> Iterator[tuple]:
         at, end = 0, f.size()
         while at < end:
             f.seek(at)
-            head = f.read(HEAD)
-            while b"\r\n\r\n" not in head and at + len(head) < end:
-                head += f.read(HEAD)
-            headers, start = _headers(head)
-            length = int(headers["content-length"])
-            if self._wanted(headers):
-                need = start + (length if self.payload and headers["warc-type"] == "response" else min(length, 4096))
-                if need > len(head):
-                    head += f.read(need - len(head))
-                yield self._row(headers, head[start : start + length])
-            at += start + length + 4
-
-    def _wanted(self, headers: dict[str, str]) -> bool:
-        return all(_value(headers, self.PUSHED[c]) in values for c, values in self.equal.items()) and headers["warc-type"] in ("response", "revisit")
-
-    def _row(self, headers: dict[str, str], block: bytes) -> tuple:
-        http, _, body = block.partition(b"\r\n\r\n")
-        length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
+            record = _Record(lambda: f.read(HEAD))
+            row = self._row(record)
+            if row is not None:
+                yield row
+            headers, start = _headers(record)
+            at += start + int(headers["content-length"]) + 4
+
+    def _row(self, record: _Record) -> tuple | None:
+        headers, start = _headers(record)
+        kind = headers["warc-type"]
+        if not all(_value(headers, self.PUSHED[c]) in values for c, values in self.equal.items()):
+            return None
+        end = start + int(headers["content-length"])
+        body, length = start, None
+        if kind in ("response", "revisit") and headers.get("content-type", "").startswith("application/http"):
+            mark = record.find(b"\r\n\r\n", start)
+            http = record.head[start : mark if 0 <= mark < end else end]
+            body = min(mark + 4, end) if mark >= 0 else end
+            length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        if length is None:
+            length = end - body
         digest = headers.get("warc-payload-digest", "")
         sha1 = base64.b32decode(digest.partition(":")[2]).hex() if digest.startswith("sha1:") else None
-        payload = body if self.payload and headers["warc-type"] == "response" else None
+        payload = record.upto(end)[body:end] if self.payload and kind != "revisit" else None
         if payload is not None and sha1 is not None and hashlib.sha1(payload).hexdigest() != sha1:
             raise ValueError(f"a record's payload does not have its digest: {headers.get('warc-record-id')}")
-        return _value(headers, "x-page"), _value(headers, "warc-target-uri"), headers["warc-type"], _value(headers, "warc-refers-to"), length, sha1, payload
+        return _value(headers, "x-page"), _value(headers, "warc-target-uri"), kind, _value(headers, "warc-refers-to"), length, sha1, payload
 
 
-def _headers(head: bytes) -> tuple[dict[str, str], int]:
-    end = head.index(b"\r\n\r\n")
-    lines = head[:end].decode("utf-8", "replace").split("\r\n")
+def _headers(record: _Record) -> tuple[dict[str, str], int]:
+    end = record.find(b"\r\n\r\n")
+    if end < 0:
+        raise ValueError("a record without an end of its headers")
+    lines = record.head[:end].decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
 
 
@@ -230,15 +264,18 @@ class WarcDataSource(DataSource):
 def classify_records(pages: DataFrame, least: int = LEAST_REVISIT, most: int = 200_000) -> DataFrame:
     """The rows of an archive of ``pages``: of equal payloads of ``least`` bytes or more, the one of the largest page_id is the response that the others revisit.
 
-    A null html is an empty payload. Rows that tie for the largest page_id are all responses; a null page_id is below all others. Repeated payloads
-    are found from digests alone; they are broadcast where there are at most ``most`` of them.
+    A null html is an empty payload. Rows that tie for the largest page_id are all responses; a null page_id is below all others. Revisits
+    are found from digests and ids alone; they are broadcast where there are at most ``most`` of them, else rows are joined to them by digest and id, so copies
+    of one payload do not meet in one task.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"), payload.alias("payload"))
-    again = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "last", F.lit(True).alias("again"))
-    again, _ = small(again, most)
-    revisit = F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(again, "payload_digest", "left").select(
+    keys = materialise(rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest"), "digests")
+    last = keys.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = keys.join(last, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "last", F.lit(True).alias("again")).distinct()
+    again, _ = small(materialise(again, "revisits"), most)
+    revisit = F.coalesce("again", F.lit(False))
+    return rows.join(again, rows["page_id"].eqNullSafe(again["p"]) & (rows["payload_digest"] == again["d"]), "left").select(
         F.col("page_id").cast("string"), F.col("url").cast("string"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("last").cast("string")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"),
     )
@@ -251,15 +288,22 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def read_warc(spark, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives at ``path``. A filter by record_type, url or page_id is applied to headers, before payloads are decoded."""
+    """The records of the archives at ``path``, of whatever type. A filter by record_type, url or page_id is applied to headers, before payloads are decoded.
+
+    The payload of a response is its body, that of a revisit null, that of another type its block. Without a manifest of ``write_warc`` all files that end
+    in .warc or .warc.gz are read. The session's filter pushdown to Python sources is switched on, and stays so, as plans are made later.
+    """
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path=path)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write the archives of ``pages`` in the shared folder; give all records as they are read back, payloads checked against their digests."""
+    """Write the archives of ``pages`` in the shared folder; give all records as they are read back.
+
+    Responses are read with their payloads, which are checked against their digests; revisits by a pushed predicate and without, so that responses' payloads are not inflated again.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    return read_warc(spark, path)
+    return read_warc(spark, path).where("record_type = 'response'").unionByName(read_warc(spark, path, payload=False).where("record_type = 'revisit'"))

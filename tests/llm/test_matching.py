@@ -14,7 +14,7 @@ from prismcol.llm.hashing import Words, shingles
 from prismcol.llm.jaccard_join import drop_similar, similarity_classes
 from prismcol.llm.license_scan import NOTICES, Templates, scan_licenses
 from prismcol.llm.line_dedup import chunk_ends, dedup_lines, line_hashes
-from prismcol.llm.warc import archive_and_read, read_warc, write_warc
+from prismcol.llm.warc import archive_and_read, classify_records, read_warc, write_warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -164,6 +164,40 @@ def test_warc(spark, tmp_path):
     some = read_warc(spark, path, payload=False).where((F.col("record_type") == "response") & (F.col("url") == "http://f"))
     assert [(r["page_id"], r["payload"], r["payload_bytes"]) for r in some.collect()] == [("7", None, len(big.encode()) + 1)]
     assert archive_and_read(pages.limit(0)).count() == 0
+    # A second write to the folder adds to the first.
+    write_warc(spark.createDataFrame([(8, "http://h", "more")], "page_id long, url string, html string"), path)
+    assert sorted(r["page_id"] for r in read_warc(spark, path).collect()) == [str(i) for i in range(1, 9)]
+    plan = read_warc(spark, path, payload=False).where("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan warc" in plan and "record_type#" in plan and " = revisit" not in plan
+
+
+def test_warc_revisits_by_shuffle(spark):
+    rows = [(i, "u", "x" * 2000 + str(i % 3)) for i in range(60)] + [(None, "n", "x" * 2000 + "0")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (200_000, 0):
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in classify_records(pages, most=most).collect()}
+        assert got == {None if i is None else str(i): ("response", None) if i is not None and i >= 57 else ("revisit", str(57 + (0 if i is None else i % 3))) for i, _, _ in rows}
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Plain and packed archives without a manifest or lengths of members, other record types, and HTTP headers of any length."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"v" * 900) for i in range(90)) + b"\r\n"
+    body = b"<html>" + bytes(range(256)) * 700
+    record = lambda kind, block, more=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:1>\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    typed = b"Content-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://x\r\n"
+    records = [record(b"warcinfo", b"software: x\r\n"), record(b"response", http + body, typed), record(b"request", b"GET / HTTP/1.1\r\n\r\n"), record(b"revisit", http, typed)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    for payload in (True, False):
+        rows = read_warc(spark, f"file://{tmp_path}", payload).collect()
+        assert sorted(r["record_type"] for r in rows) == sorted(["warcinfo", "response", "request", "revisit"] * 2)
+        for r in rows:
+            if r["record_type"] == "response":
+                assert r["payload_bytes"] == len(body) and r["url"] == "http://x" and (bytes(r["payload"]) == body if payload else r["payload"] is None)
+            if r["record_type"] == "warcinfo" and payload:
+                assert bytes(r["payload"]) == b"software: x\r\n"
 
 
 def test_materialise_survives_its_source(spark):
