@@ -12,7 +12,6 @@ from prismcol.llm.components import connected_components
 from prismcol.llm.decontamination import decontaminate
 from prismcol.llm.hashing import Words, shingles
 from prismcol.llm.jaccard_join import drop_similar, similarity_classes
-from prismcol.llm.license_scan import NOTICES, Templates, scan_licenses
 from prismcol.llm.line_dedup import chunk_ends, dedup_lines, line_hashes
 from prismcol.llm.warc import archive_and_read, classify_records, read_warc, write_warc
 
@@ -116,18 +115,6 @@ def test_decontamination(spark, odd, none):
     assert len(decontaminate(odd, items).collect()) == 10
 
 
-def test_licenses(spark, odd, none):
-    t = Templates(NOTICES)
-    assert min(t.chance(k) for k in range(len(t.names))) > 0.999
-    filler = " ".join(f"f{i}" for i in range(37))
-    rows = [(i, f"{filler} {name_text}\n{filler}", name) for i, (name, name_text) in enumerate((n, x) for n, xs in NOTICES.items() for x in xs)]
-    got = {(r["doc_id"], r["license"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()}
-    assert {(i, n) for i, _, n in rows} <= got
-    r = scan_licenses(spark.createDataFrame([(1, "word " * 9 + "Released under the MIT License.")], "doc_id long, text string")).first()
-    assert (r["license"], r["contained"], r["first_word"]) == ("MIT", 1000, 9)
-    assert scan_licenses(odd).count() == 0 and scan_licenses(none).count() == 0
-
-
 def test_line_dedup(spark, odd, none):
     rng = random.Random(4)
     passage = [f"shared line {i} of many" for i in range(12)]
