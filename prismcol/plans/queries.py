@@ -16,6 +16,7 @@ from ..operators.scoring import NAME_RULES, classify_names, guess_columns, score
 from ..operators.stabilize import transform
 from ..sources.values import values_frame
 from ..streaming.rates import detector_rates
+from .probes import detect_probes, detect_probes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +78,8 @@ def guess_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess_columns(values_of(spark, sf_dir, {t: df.columns for t, df in tables.items()})).withColumn("table", owner[F.col("column")])
 
 
+query("detect_probes", detect_probes_sql())(detect_probes)
+
 SIMPLE = {
     "currency_symbol": r"^[$€¥£][0-9]+(\.[0-9]{1,2})?\z", "md5": r"^[0-9a-fA-F]{32}\z", "zip_code": r"^[0-9]{5}(-[0-9]{4})?\z", "snp_id": r"^rs[0-9]+\z", "asin": r"^B0[0-9A-Z]{8}\z", "icd10_code": r"^[A-Z][0-9]{2}(\.[A-Z0-9]{1,4})?\z",
     "yyyymm": r"^(19|20)[0-9]{2}(0[1-9]|1[0-2])\z", "uei": r"^[A-HJ-NP-Z1-9][A-HJ-NP-Z0-9]{11}\z", "msisdn": r"^[0-9]{10,15}\z", "url": r"(?i)^(https?|ftp)://[[:alnum:]_-]+(\.[[:alnum:]_-]+)+([:/?#]\S*)?\z",
