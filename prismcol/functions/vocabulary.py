@@ -50,10 +50,20 @@ SEEDS = {
 }
 
 
+_folder: str | None = None
+
+
+def use_lexicons(folder: str | None) -> None:
+    """From now on detectors take their terms from ``folder/<name>.txt`` (first_name, last_name, us_city, cbsa, csa, metro_area, naics), one a line, where that is there; null: from the seeds."""
+    global _folder
+    _folder = folder
+
+
 def lexicon(name: str, folder: str | None = None) -> list[str]:
-    """The terms of ``folder/name.txt``, or the seeds."""
-    path = Path(folder, f"{name}.txt") if folder else None
-    return [x.strip().lower() for x in path.read_text().splitlines() if x.strip()] if path and path.exists() else SEEDS[name]
+    """The terms of ``folder/name.txt`` (default: the folder of ``use_lexicons``), or the seeds. Detectors test values against them as one set of
+    literals, which is hashed; a list of some ten thousand terms is meant to fit."""
+    path = Path(folder or _folder, f"{name}.txt") if folder or _folder else None
+    return [x.strip().lower() for x in path.read_text(encoding="utf-8").splitlines() if x.strip()] if path and path.exists() else SEEDS[name]
 
 
 def countries() -> list[str]:

@@ -24,18 +24,20 @@ class Detector:
     coordinates: tuple[str, str, str, str]
     loose: bool
     raw: Predicate
+    blank_is_null: bool = False
 
     def __call__(self, c: Column) -> Column:
-        return F.when(c.isNotNull(), F.coalesce(self.raw(c), F.lit(False)))
+        known = c.isNotNull() & (trimmed(c) != "") if self.blank_is_null else c.isNotNull()
+        return F.when(known, F.coalesce(self.raw(c), F.lit(False)))
 
 
 REGISTRY: dict[str, Detector] = {}
 
 
-def register(name: str, coordinates: str, predicate: Predicate, loose: bool = False) -> None:
-    """Add a detector, or replace the one of that name. ``coordinates`` are type/subtype/class/format."""
+def register(name: str, coordinates: str, predicate: Predicate, loose: bool = False, blank_is_null: bool = False) -> None:
+    """Add a detector, or replace the one of that name. ``coordinates`` are type/subtype/class/format; ``blank_is_null``: it says nothing of blank values."""
     at = REGISTRY[name].index if name in REGISTRY else len(REGISTRY)
-    REGISTRY[name] = Detector(name, at, tuple(coordinates.split("/")), loose, predicate)  # type: ignore[arg-type]
+    REGISTRY[name] = Detector(name, at, tuple(coordinates.split("/")), loose, predicate, blank_is_null)  # type: ignore[arg-type]
 
 
 def _words(*lists: list[str]) -> str:
@@ -224,7 +226,7 @@ register("state_zip", "categorical/nominal/geography/label", _tail_state(r"^\s*(
 register("address", "text/line/address/plain", _address)
 register("first_name", "text/line/person_name/plain", lambda c: _in_names(c, "first_name"), True)
 register("last_name", "text/line/person_name/plain", lambda c: _in_names(c, "last_name"), True)
-register("full_name", "text/line/person_name/plain", _full_name)
+register("full_name", "text/line/person_name/plain", _full_name, blank_is_null=True)
 register("boolean", "boolean/binary/indicator/true_false", lambda c: F.lower(trimmed(c)).isin(V.BOOLEANS), True)
 register("wkt_geometry", "structured/spatial/geometry/wkt", lambda c: c.rlike(r"(?i)^\s*(?:POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)\s*(?:Z|M|ZM)?\s*(?:\(.*\)|EMPTY)\s*\z") & c.rlike(r"(?i)\d|EMPTY\s*\z"))
 register("geojson", "structured/spatial/geometry/geojson", lambda c: c.rlike(r"(?s)^\s*\{.*\}\s*\z") & c.rlike(r'"type"\s*:\s*"(?:Point|LineString|Polygon|MultiPoint|MultiLineString|MultiPolygon|GeometryCollection|Feature|FeatureCollection)"') & c.rlike(r'"(?:coordinates|geometry|geometries|features)"\s*:'))

@@ -15,18 +15,18 @@ from ..sources.values import usable, values_frame
 MARKS = dict(zip("period comma dash under slash colon semi lparen rparen at hash dollar pct amp star plus eq apos quote pipe qmark bang".split(), ".,-_/:;()@#$%&*+='\"|?!", strict=True))
 PLACED = "period dash slash at colon comma under lparen hash dollar".split()
 PATTERNS = {
-    "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$", "url": r"^(https?://|www\.)\S+$", "ipv4": r"^([0-9]{1,3}\.){3}[0-9]{1,3}$",
-    "uuid": r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", "hexhash": r"^[0-9a-fA-F]{16,}$", "hexcolor": r"^#?[0-9a-fA-F]{6}$",
-    "base64": r"^[A-Za-z0-9+/]{16,}={0,2}$", "filepath": r"^([A-Za-z]:)?[/\\].*[/\\]", "jsonfrag": r"^\s*[{\[].*[}\]]\s*$",
-    "phone_us": r"^\(?[0-9]{3}\)?[- .]?[0-9]{3}[- .]?[0-9]{4}$", "phone_intl": r"^\+[0-9]{1,3}[- ]?[0-9 -]{6,14}$", "zip5": r"^[0-9]{5}$", "zip9": r"^[0-9]{5}-[0-9]{4}$",
-    "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ein": r"^[0-9]{2}-[0-9]{7}$", "ein_bare": r"^[0-9]{9}$", "fips_st": r"^[0-9]{2}$", "fips_cty": r"^[0-9]{5}$",
-    "naics": r"^[0-9]{2,6}$", "cusip": r"^[0-9A-Z]{9}$", "isin": r"^[A-Z]{2}[0-9A-Z]{9}[0-9]$", "money": r"^\(?[-$]?[0-9]{1,3}(,[0-9]{3})*(\.[0-9]{2})?\)?$",
-    "percent": r"^-?[0-9]+(\.[0-9]+)?%$", "sci_not": r"^-?[0-9](\.[0-9]+)?[eE][-+]?[0-9]+$", "latlon": r"^-?[0-9]{1,3}\.[0-9]{3,}$",
-    "latlon_dms": r"^[0-9]{1,3}[^0-9][0-9]{1,2}'[0-9.]+\"?[NSEW]$", "date_iso": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "date_us": r"^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})$",
-    "date_eu": r"^[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4}$", "date_word": r"^[0-9]{0,2} ?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)", "yyyymm": r"^(19|20)[0-9]{2}(0[1-9]|1[0-2])$",
-    "time": r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[APap]\.?[Mm]\.?)?$", "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}",
-    "duration": r"^[0-9]+(\.[0-9]+)? ?(sec|min|hr|hour|day|week|month|year)s?$", "org_suffix": r"(Inc|Corp|LLC|Ltd|Foundation|Trust|Assn|Association|Church|Society)\.?$",
-    "person_lastfirst": r"^[A-Z][a-z]+, [A-Z]([a-z]+|\.)$", "person_firstlast": r"^[A-Z][a-z]+ [A-Z][a-z]+$", "street_addr": r"^[0-9]+ [A-Z0-9]", "city_state": r"^[A-Za-z .'-]+, ?[A-Z]{2}$",
+    "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\z", "url": r"^(https?://|www\.)\S+\z", "ipv4": r"^([0-9]{1,3}\.){3}[0-9]{1,3}\z",
+    "uuid": r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z", "hexhash": r"^[0-9a-fA-F]{16,}\z", "hexcolor": r"^#?[0-9a-fA-F]{6}\z",
+    "base64": r"^[A-Za-z0-9+/]{16,}={0,2}\z", "filepath": r"^([A-Za-z]:)?[/\\].*[/\\]", "jsonfrag": r"^\s*[{\[].*[}\]]\s*\z",
+    "phone_us": r"^\(?[0-9]{3}\)?[- .]?[0-9]{3}[- .]?[0-9]{4}\z", "phone_intl": r"^\+[0-9]{1,3}[- ]?[0-9 -]{6,14}\z", "zip5": r"^[0-9]{5}\z", "zip9": r"^[0-9]{5}-[0-9]{4}\z",
+    "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z", "ein": r"^[0-9]{2}-[0-9]{7}\z", "ein_bare": r"^[0-9]{9}\z", "fips_st": r"^[0-9]{2}\z", "fips_cty": r"^[0-9]{5}\z",
+    "naics": r"^[0-9]{2,6}\z", "cusip": r"^[0-9A-Z]{9}\z", "isin": r"^[A-Z]{2}[0-9A-Z]{9}[0-9]\z", "money": r"^\(?[-$]?[0-9]{1,3}(,[0-9]{3})*(\.[0-9]{2})?\)?\z",
+    "percent": r"^-?[0-9]+(\.[0-9]+)?%\z", "sci_not": r"^-?[0-9](\.[0-9]+)?[eE][-+]?[0-9]+\z", "latlon": r"^-?[0-9]{1,3}\.[0-9]{3,}\z",
+    "latlon_dms": r"^[0-9]{1,3}[^0-9][0-9]{1,2}'[0-9.]+\"?[NSEW]\z", "date_iso": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", "date_us": r"^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})\z",
+    "date_eu": r"^[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4}\z", "date_word": r"^[0-9]{0,2} ?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)", "yyyymm": r"^(19|20)[0-9]{2}(0[1-9]|1[0-2])\z",
+    "time": r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[APap]\.?[Mm]\.?)?\z", "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}",
+    "duration": r"^[0-9]+(\.[0-9]+)? ?(sec|min|hr|hour|day|week|month|year)s?\z", "org_suffix": r"(Inc|Corp|LLC|Ltd|Foundation|Trust|Assn|Association|Church|Society)\.?\z",
+    "person_lastfirst": r"^[A-Z][a-z]+, [A-Z]([a-z]+|\.)\z", "person_firstlast": r"^[A-Z][a-z]+ [A-Z][a-z]+\z", "street_addr": r"^[0-9]+ [A-Z0-9]", "city_state": r"^[A-Za-z .'-]+, ?[A-Z]{2}\z",
 }
 HEADER_WORDS = {
     "id": r"(^|_)(id|key|num|no|nbr)($|_)", "code": r"code|cd$|_cd", "date": r"date|dt$|day|month|year|yr|time|stamp",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import SENTINELS, STATES, STOPWORDS
-from ..operators import evaluation, ontology, screens, similarity, testgen
+from ..operators import screens, similarity, testgen
 from ..operators import profile as P
 from ..operators import profile_ends as E
 from ..operators.detectors import REGISTRY
@@ -16,6 +16,7 @@ from ..operators.scoring import NAME_RULES, classify_names, guess_columns, score
 from ..operators.stabilize import transform
 from ..sources.values import values_frame
 from ..streaming.rates import detector_rates
+from .lifecycle import LIFECYCLE
 from .probes import detect_probes, detect_probes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +59,8 @@ def sql_values(tables: dict[str, list[str]]) -> str:
     return "with vals as (" + " union all ".join(each) + "), u as (select * from vals where v is not null and lower(trim(v)) not in (" + ", ".join(f"'{s}'" for s in SENTINELS) + "))"
 
 
-def sql_measures(measures: dict[str, str]) -> str:
-    return ", ".join(f'round(cast({e} as double), 6) as "{n}"' for n, e in measures.items())
+def sql_measures(measures: dict[str, str], places: int = 6) -> str:
+    return ", ".join(f'round(cast({e} as double), {places}) as "{n}"' for n, e in measures.items())
 
 
 def q(pattern: str) -> str:
@@ -249,9 +250,10 @@ _NUM = {
 }
 
 
-@query("profile_numeric", sql_values(NUMBERS) + ", n as (select \"column\", cast(v as double) as x, w from u) select \"column\", " + sql_measures(_NUM) + " from n group by 1")
+@query("profile_numeric", sql_values(NUMBERS) + ", n as (select \"column\", cast(v as double) as x, w from u) select \"column\", " + sql_measures(_NUM, 8) + " from n group by 1")
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.numeric(values_of(spark, sf_dir, NUMBERS)).select("column", *_NUM))
+    # Means of cents over 60,000 rows lie on halves of the sixth place, which sums of doubles in another order round either way.
+    return rounded(P.numeric(values_of(spark, sf_dir, NUMBERS)).select("column", *_NUM), 8)
 
 
 _TOKENS = {
@@ -373,25 +375,10 @@ def triage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ontology, evaluation, test data --------------------------------------------------------------------------------------
 
-_OLD = [("n1", "n1-f01", "number", "quantity", "measurement", "", "", "a"), ("n2", "n2-f01", "text", "line", "person", "", "", "a"), ("n3", "n3-f01", "text", "line", "place", "", "", "a"), ("n4", "n4-f01", "text", "token", "url", "", "", "a"), ("n5", "n5-f01", "text", "token", "mail", "", "", "a"), ("n6", "n6-f01", "text", "token", "web", "", "", "a")]
-_NEW = [("n1", "n1-f01", "number", "quantity", "measure", "", "", "a"), ("n2", "n2-f01", "categorical", "line", "person", "", "", "a"), ("n3", "n3-f01", "text", "line", "place", "", "", "b"), ("n4", "n4-f01", "text", "token", "url", "2", "n7", "a"), ("n6", "n6-f01", "text", "token", "web", "2", "n7", "a"), ("n7", "n7-f01", "text", "token", "link", "", "", "a"), ("n5", "n5-f01", "text", "token", "mail", "", "", "a"), ("n5", "n5-f02", "text", "token", "mail", "", "", "a")]
-_SCHEMA = "semantic_type_id string, variant_id string, data_type string, semantic_family string, semantic_type string, version_deprecated string, superseded_by string, short_desc string"
 
 
-@query("ontology_diff", "select * from (values ('n1','renamed',3), ('n2','moved',1), ('n3','attr_edit',4), ('n4','merged',3), ('n6','merged',3), ('n7','added',3), ('n5','variant_add',4)) t(semantic_type_id, change, change_depth)")
-def ontology_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.ontology_diff(spark.createDataFrame(_OLD, _SCHEMA), spark.createDataFrame(_NEW, _SCHEMA)).select("semantic_type_id", "change", "change_depth")
-
-
-@query("impacted_cases", "select * from (values ('c2','n4','merged','migrate')) t(case_id, semantic_type_id, change, impact)")
-def impacted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = ontology.ontology_diff(spark.createDataFrame(_OLD, _SCHEMA), spark.createDataFrame(_NEW, _SCHEMA))
-    return ontology.impacted_cases(diff, spark.createDataFrame([("c1", "n1", 3), ("c2", "n4", 4), ("c3", "n6", 2)], "case_id string, semantic_type_id string, depth_labeled int"))
-
-
-@query("eval_summary", "with g as (select quality as class, count(*) as support, sum(case when quality = toxic then 1 else 0 end)::bigint as correct from labels group by 1), p as (select toxic as class, count(*) as predicted from labels group by 1), j as (select coalesce(g.class, p.class) as class, coalesce(support, 0) as support, coalesce(predicted, 0) as predicted, coalesce(correct, 0) as correct from g full join p on g.class = p.class), m as (select *, correct / nullif(support, 0) as r, correct / nullif(predicted, 0) as pr from j) select class, support, predicted, correct, round(r, 6) as recall, round(pr, 6) as precision, round(2 * pr * r / nullif(pr + r, 0), 6) as f1 from m")
-def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.eval_summary(read(spark, sf_dir, "labels"), "quality", "toxic")
+for _name, (_f, _sql) in LIFECYCLE.items():
+    query(_name, _sql)(_f)
 
 
 @query("mutation_negatives")

@@ -1,9 +1,11 @@
 """Scores, headers, profiles, transforms, screens and the ontology on small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from prismcol.operators import evaluation, ontology, screens, similarity
+from prismcol.operators import bank, evaluation, ontology, screens, similarity
 from prismcol.operators import profile as P
 from prismcol.operators.scoring import classify_names, guess_columns
 from prismcol.operators.stabilize import parse_transform, stabilize, transform
@@ -75,12 +77,36 @@ def test_screens(spark):
 def test_paths_and_feasibility(spark):
     df = spark.createDataFrame([("a/b/c", p) for p in ("a/b/c", "a/b/x", "a/x/c", "x/b/c")], "p string, q string")
     assert [round(r[0], 6) for r in df.select(similarity.path_distance(F.col("p"), F.col("q"))).collect()] == [0, 0.333333, 0.666667, 1]
-    df = spark.createDataFrame([("a/b/c", "a/b/c", 3), ("a", "a/b/c", 3), ("x/b", "a/b/c", 3), (None, "a", 1)], "p string, q string, d int")
-    assert [r[0] for r in df.select(evaluation.feasibility_score(F.col("p"), F.col("q"), F.col("d"))).collect()] == [2, 1, 0, 0]
-
-
-def test_ontology(spark):
-    rows = spark.createDataFrame([("number/quantity/measurement",), ("text//person",), ("",)], "path string")
-    assert [r["depth"] for r in ontology.governance(rows).collect()] == [3, 1, 0]
-    bad = spark.createDataFrame([("n1", "v1", "a", "b", "c", "n9"), ("n1", "v1", "a", "b", "d", "")], "semantic_type_id string, variant_id string, data_type string, semantic_family string, semantic_type string, superseded_by string")
-    assert {r["problem"] for r in ontology.validate(bad).collect()} == {"duplicate variant_id", "type with several paths", "unknown successor"}
+    rows = [(("a", "b", "c"), ("a", "b", "c"), 3, 0), (("a", None, None), ("a", "b", "c"), 3, 1), (("a", "b", "x"), ("a", "b", "c"), 2, 0), (("x", "b", "c"), ("a", "b", "c"), 3, 2), ((None,) * 3, ("a", "", ""), 1, 2), ((None,) * 3, (None, "", None), 0, 0), (("a", "", ""), (None, "", None), 0, 2)]
+    df = spark.createDataFrame([(*p, *q, d, want) for p, q, d, want in rows], "p1 string, p2 string, p3 string, q1 string, q2 string, q3 string, d int, want int")
+    got = df.withColumn("got", evaluation.feasibility([F.col(f"p{k}") for k in (1, 2, 3)], [F.col(f"q{k}") for k in (1, 2, 3)], F.col("d")))
+    assert got.where("got <> want").count() == 0
+
+
+def test_governance(spark):
+    levels = "data_type string, semantic_family string, semantic_type string, semantic_type_id string"
+    rows = spark.createDataFrame([("number", "quantity", "measurement", None), ("text", "", "person", None), (None, None, None, None), ("text", None, None, "n1"), (None, None, None, "n1")], levels)
+    known = spark.createDataFrame([("number", "quantity", "measurement", "n1")], levels)
+    assert sorted(r["depth_labeled"] for r in ontology.governance(rows, known).collect()) == [0, 1, 1, 3, 3]
+    assert ontology.governance(rows).columns == ["data_type", "semantic_family", "semantic_type", "semantic_type_id", "depth_labeled", "confidence", "ontology_version", "detector_id"]
+
+
+def test_bank_files(spark, tmp_path):
+    values = values_frame(spark.createDataFrame([(f"v{i % 400}", str(i % 3)) for i in range(2000)], "many string, few string"))
+    labels = spark.createDataFrame([("many", "text", "t1", "hard"), ("few", "number", "t2", None)], "column string, data_type string, semantic_type_id string, difficulty string")
+    cases = bank.make_cases(values, labels, version="v1")
+    bank.write_bank(cases, str(tmp_path / "bank"))
+    one = cases.where("case_id = 'few'").toJSON().first()
+    (tmp_path / "single").mkdir()
+    (tmp_path / "single" / "few.json").write_text(json.dumps(json.loads(one), indent=2))
+    assert bank.index_bank(bank.read_bank(spark, str(tmp_path / "single"))).first()["semantic_type_id"] == "t2"
+    back = {r["case_id"]: r for r in bank.read_bank(spark, str(tmp_path / "bank"), lines=True).collect()}
+    assert back["many"]["values"]["storage_mode"] == "sample" and back["many"]["values"]["n_stored"] == 100 and not back["many"]["values"]["is_lossless"]
+    assert [(x["value"], x["count"]) for x in back["few"]["values"]["data"]] == [("0", 667), ("1", 667), ("2", 666)] and back["few"]["label"]["semantic_type_id"] == "t2"
+    index = bank.index_bank(bank.read_bank(spark, str(tmp_path / "bank"), lines=True))
+    assert {(r["case_id"], r["difficulty"], r["ontology_version"]) for r in index.collect()} == {("many", "hard", "v1"), ("few", None, "v1")}
+    diff = spark.createDataFrame([("t1", "merged", "a/b/c", "a/b/d", "mechanical", "x", "n")], "semantic_type_id string, change_kind string, from_path string, to_path string, case_impact string, scoring_impact string, note string")
+    flagged = bank.flag_cases(bank.read_bank(spark, str(tmp_path / "bank"), lines=True), bank.impacted_cases(diff, index))
+    bank.write_bank(flagged, str(tmp_path / "next"))
+    queue = bank.relabel_queue(bank.index_bank(bank.read_bank(spark, str(tmp_path / "next"), lines=True))).collect()
+    assert [(r["case_id"], r["relabel_trigger"]) for r in queue] == [("many", "merged of t1 (a/b/c -> a/b/d)")]
