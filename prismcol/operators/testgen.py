@@ -19,7 +19,8 @@ def alphabet(positives: DataFrame) -> DataFrame:
 
 
 def _hash(v: Column, k: Column, i: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(v, k, i, F.lit(seed)), F.lit(1 << 40))
+    """40 bits of an MD5, which any engine can state."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", v, k.cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("long")
 
 
 def mutate(v: Column, k: Column, pool: Column, only_alnum: bool, p: float = 0.5, seed: int = 514) -> Column:

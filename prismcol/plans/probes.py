@@ -19,7 +19,7 @@ VALUES = {
     "iso_datetime": "1987-02-06T06:00:37|1988-01-12T06:34:58.123Z|1988-01-12T06:34:58+0100", "us_date": "3/3/16|1/27/16|13/1/16|12/32/2016|1/1/2016", "us_datetime": "2/6/1987 6:00:37 AM|1-12-1988 6:34", "abbr_month_date": "1-Jul-14|2/Jul/2014|1-jul-14", "rfc2822_datetime": "Fri, 06 Feb 1987 06:00:37 GMT|Tue, 12 Jan 1988 06:34:58 +0100",
     "long_date": "Friday, June 16, 1967|June 9, 1955|Mon Jan 1|June 9|June 9, 44 BC 10:30 PM", "month_year": "February 1987|Feb, 1988", "yyyymm": "201912|201913|189912", "month_day": "February 6|Jan 12", "clock_time": "6:00:37 AM|23:59|24:00|6:60", "date_range": "07/21/16 to 08/19/16|2016-01-01 - 2016-02-01",
     "hijri_date": "11 Shawwal 1430|5 Muharram 1300|5 March 1300", "quarter": "2019Q1|Q4-2020|FY2019 Q3|2019Q5", "day_of_week": "Monday|tue|Mo", "month_of_year": "January|feb|Janu", "fiscal_year": "FY2019|FY19-20|FY2019/2020|2019", "street_address": "2325 140th St|303 Aspen Ct|1 N. Main Street.|Aspen Ct",
-    "po_box": "PO Box 1234|P.O. Box 56|post office box #7|Box 5", "city_name": "Chicago|new orleans|Nowhere", "city_state": "Bloomington, IN|Cheshire, Connecticut|Bloomington, ZZ", "state_zip": "IN 47401|CT, 06410-1234|New York 10001|ZZ 47401", "first_name": "James|mary|Xqz", "last_name": "Smith|johnson|O'Brien",
+    "po_box": "PO Box 1234|P.O. Box 56|post office box #7|Box 5", "city_name": "Chicago|new orleans|Nowhere", "city_state": "Bloomington, IN|Cheshire, Connecticut|Bloomington, ZZ", "state_zip": "IN 47401|CT, 06410-1234|New York 10001|ZZ 47401", "address": "1225 S Walnut St, Bloomington, IN 47401|30 Grandview Ct, Cheshire, CT 06410|PO Box 5, Tulsa, OK 74101|12 Main St, Nowhere", "first_name": "James|mary|Xqz", "last_name": "Smith|johnson|O'Brien",
     "full_name": "John Smith|Smith, Mary|Mary A. Jones|Xqz Abc|A B C D E", "boolean": "true|N|1|maybe", "wkt_geometry": "POINT (30 10)|POLYGON EMPTY|POINT Z (1 2 3)|POINT|POINT (a)", "geojson": '{"type":"Point","coordinates":[30,10]}|{"type": "Feature", "geometry": null}|{"type":"Point"}', "json": '{"a":1,"b":2}|[1]|{}|{"a"}',
     "state_fips": "06|36|03|72", "county_fips": "06037|36061|03001", "tract_fips": "06037206200", "block_group_fips": "060372062001", "block_fips": "060372062001001", "nces_locale": "11|43|14|51", "cbsa": "10100|10140|99999", "csa": "101|220|999", "metro_area_name": "Aberdeen, SD|Abilene,  TX|Nowhere, TX",
     "urban_rural": "Urban|rural|sea", "census_region": "Northeast|pacific|north", "ssn": "540-39-4268|518-07-5084|000-12-3456|900-12-3456|123-00-1234|666-12-3456|123-45-0000", "ein": "15-4464349|589042990|00-1234567|111111111", "dea": "AP5836727|BJ6125341|AP5836728", "chinese_resident_id": "141002197808194474|431026197506218370|11010519491231002X",
@@ -176,6 +176,13 @@ RULES = {
     "city_name": f"{_CITY.format('v')} in {_any(V.SEEDS['us_city'])}",
     "city_state": _full(r"\s*.+,\s*[A-Za-z. ]{2,}\s*") + rf" and upper(trim(regexp_extract(v, '^\s*(.+?),\s*([A-Za-z. ]{{2,}})\s*$', 2))) in {_STATES}",
     "state_zip": _full(r"\s*[A-Za-z. ]{2,},?\s+\d{5}(-\d{4})?\s*") + rf" and upper(trim(regexp_extract(v, '^\s*([A-Za-z. ]{{2,}}),?\s+(\d{{5}}(?:-\d{{4}})?)\s*$', 1))) in {_STATES}",
+    "address": " + ".join(
+        f"({x})::int"
+        for x in (
+            rf"regexp_matches(v, '(?i)\b\d+\s+[A-Za-z0-9. ''-]+\s+({'|'.join(V.STREETS)})\b')", r"regexp_matches(v, '(?i)\bp\.?\s?o\.?\s?box\b|\bpob\b|\bpost\s?office\s?box\b')",
+            rf"regexp_matches(v, '(,\s*|\s)({'|'.join([*V.STATE_CODES, *V.STATES])})(\b|,)')", r"regexp_matches(v, '\b\d{5}(-\d{4})?\b')", f"len(list_filter(string_split(v, ','), lambda t: {_CITY.format('t')} in {_any(V.SEEDS['us_city'])})) > 0",
+        )
+    ) + " >= 3",
     "first_name": f"{_NAME.format('v')} in {_any(V.SEEDS['first_name'])}",
     "last_name": f"{_NAME.format('v')} in {_any(V.SEEDS['last_name'])}",
     "full_name": f"len({_TOKENS}) between 2 and 4 and (case when contains(v, ',') then {_NAME.format(f'({_TOKENS})[1]')} in {_any(V.SEEDS['last_name'])} or {_NAME.format(f'({_TOKENS})[2]')} in {_any(V.SEEDS['first_name'])} else {_NAME.format(f'({_TOKENS})[1]')} in {_any(V.SEEDS['first_name'])} end)",

@@ -16,6 +16,7 @@ from ..operators.scoring import NAME_RULES, classify_names, guess_columns, score
 from ..operators.stabilize import transform
 from ..sources.values import values_frame
 from ..streaming.rates import detector_rates
+from .columns import COLUMNS
 from .lifecycle import LIFECYCLE
 from .probes import detect_probes, detect_probes_sql
 
@@ -72,13 +73,6 @@ SHARE = "sum(case when {} then w else 0 end) / sum(w)"
 # ---- what columns hold -------------------------------------------------------------------------------------------------
 
 
-@query("guess_tables")
-def guess_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: read(spark, sf_dir, t) for t in ("customer", "orders", "part")}
-    owner = F.create_map(*(F.lit(x) for t, df in tables.items() for c in df.columns for x in (c, t)))
-    return guess_columns(values_of(spark, sf_dir, {t: df.columns for t, df in tables.items()})).withColumn("table", owner[F.col("column")])
-
-
 query("detect_probes", detect_probes_sql())(detect_probes)
 
 SIMPLE = {
@@ -98,11 +92,6 @@ def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("column", "data_type", "n", F.round("pass_rate", 6).alias("pass_rate"))
 
 
-@query("score_all_detectors")
-def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_values(values_of(spark, sf_dir, TEXTS)).select("column", "data_type", "n", "pass_rate")
-
-
 def detect(name: str, table: str, expression: str, detector: str, sql_value: str, sql_rule: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = read(spark, sf_dir, table).select(F.expr(expression).alias("v"))
@@ -301,11 +290,6 @@ def profile_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.moments(values_of(spark, sf_dir, NUMBERS)).select("column", *_MOMENTS))
 
 
-@query("profile_header")
-def profile_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.header(values_of(spark, sf_dir, TEXTS)))
-
-
 @query("profile_sequence", "with s as (select value as x, lag(value) over (order by event_id) as y from events), d as (select x, y, x - y as d from s) select 'value' as \"column\", round(corr(x, y), 6) as lag1_autocorr, round(avg(case when d = 0 then 1.0 when d is not null then 0.0 end), 6) as pct_diff_zero, cast(min(case when d >= 0 then 1 when d is not null then 0 end) as double) as is_monotone_incr from d")
 def profile_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.sequence(read(spark, sf_dir, "events"), "value", "event_id").select("column", "lag1_autocorr", "pct_diff_zero", "is_monotone_incr"))
@@ -314,17 +298,6 @@ def profile_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- signatures, transforms, screens --------------------------------------------------------------------------------------
 
 
-@query("signature_columns")
-def signature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(similarity.signatures(values_of(spark, sf_dir, TEXTS)))
-
-
-@query("sibling_report")
-def sibling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = similarity.signatures(values_of(spark, sf_dir, TEXTS))
-    return similarity.sibling_report(signed.withColumn("path", F.when(F.col("column").endswith("name"), "text/line/name").otherwise("categorical/nominal/label")))
-
-
 @query("stabilize_dec", "select l_orderkey, l_linenumber, printf('%.2f', round(l_quantity, 2)) as stable from lineitem")
 def stabilize_dec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", transform(F.col("l_quantity").cast("string"), "dec:2").alias("stable"))
@@ -363,33 +336,16 @@ def excel_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens.hazards(values_of(spark, sf_dir, _KEYS))
 
 
-@query("roundtrip_screen")
-def roundtrip_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screens.roundtrip(values_of(spark, sf_dir, _KEYS))
-
-
-@query("triage_columns")
-def triage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screens.triage(values_of(spark, sf_dir, _KEYS))
-
-
 # ---- ontology, evaluation, test data --------------------------------------------------------------------------------------
 
 
-
-for _name, (_f, _sql) in LIFECYCLE.items():
+for _name, (_f, _sql) in {**COLUMNS, **LIFECYCLE}.items():
     query(_name, _sql)(_f)
 
 
-@query("mutation_negatives")
-def mutation_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testgen.negatives(read(spark, sf_dir, "part").select(F.col("p_brand").alias("v")).distinct(), "S2")
-
-
 @query("window_rates", "select time_bucket(interval '10 minutes', ts) as start, count(props) as n, round(avg(case when regexp_matches(trim(props), '^\\{.*\\}\\z') then 1.0 else 0.0 end), 6) as pass_rate from events group by 1")
 def window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detector_rates(read(spark, sf_dir, "events"), REGISTRY["json"], "props", "ts")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("pass_rate", 6).alias("pass_rate"))
 
 
-
