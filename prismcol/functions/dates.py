@@ -44,27 +44,45 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """The date of a value in any of the orders year-month-day, day-month-year, month-day-year and year-day-month, tried in this order, with numeric or
-    English months, and an optional time behind it; null where none fits or the day does not exist."""
-    return let(normalised(c), _parsed)
+    English months, and an optional time behind it; null where none fits or the day does not exist.
+
+    A value that begins as an ISO date and goes on with a time at most needs no rewriting and is cast.
+    """
+    plain = c.rlike(r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:[ T][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?\z")
+    return F.when(plain, F.substring(c, 1, 10).try_cast("date")).otherwise(let(normalised(c), _parsed))
+
+
+def _groups(x: Column, pattern: str, *groups: int) -> Column:
+    """The groups of a pattern that matches, as an array, by one more match for all of them."""
+    return F.split(F.regexp_replace(x, pattern, "\u0001".join(f"${i}" for i in groups)), "\u0001")
 
 
 def _parsed(x: Column) -> Column:
-    g = lambda pattern, i: F.regexp_extract(x, pattern, i)
     n3 = rf"^(\d{{4}})({_SEPARATOR})(\d{{1,2}})\2(\d{{1,2}}){_TIME}\z"
     dmy = rf"^(\d{{1,2}})({_SEPARATOR})(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}\z"
     compact = rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}\z"
     d_mon_y = rf"(?i)^(\d{{1,2}}){_SEPARATOR}({MONTH})\.?{_SEPARATOR}(\d{{4}}|\d{{2}}){_TIME}\z"
     mon_d_y = rf"(?i)^({MONTH})\.?{_SEPARATOR}(\d{{1,2}}){_SEPARATOR}(\d{{4}}|\d{{2}}){_TIME}\z"
     y_mon_d = rf"(?i)^(\d{{4}}){_SEPARATOR}({MONTH})\.?{_SEPARATOR}(\d{{1,2}}){_TIME}\z"
-    i = lambda pattern, k: g(pattern, k).try_cast("int")
-    return (
-        F.when(x.rlike(n3), F.coalesce(_date(i(n3, 1), i(n3, 3), i(n3, 4)), _date(i(n3, 1), i(n3, 4), i(n3, 3))))
-        .when(x.rlike(dmy), F.coalesce(_date(_year(g(dmy, 4)), i(dmy, 3), i(dmy, 1)), _date(_year(g(dmy, 4)), i(dmy, 1), i(dmy, 3))))
-        .when(x.rlike(compact), _date(i(compact, 1), i(compact, 2), i(compact, 3)))
-        .when(x.rlike(d_mon_y), _date(_year(g(d_mon_y, 3)), _month(g(d_mon_y, 2)), i(d_mon_y, 1)))
-        .when(x.rlike(mon_d_y), _date(_year(g(mon_d_y, 3)), _month(g(mon_d_y, 1)), i(mon_d_y, 2)))
-        .when(x.rlike(y_mon_d), _date(i(y_mon_d, 1), _month(g(y_mon_d, 2)), i(y_mon_d, 3)))
+    number = lambda p, i: F.get(p, i).try_cast("int")
+    first = F.substring(x, 1, 1)
+    digits_only = ~x.rlike("[A-Za-z]")
+
+    def made(pattern: str, groups: tuple[int, ...], body) -> Column:
+        return let(_groups(x, pattern, *groups), body)
+
+    numeric = (
+        F.when(x.rlike(n3), made(n3, (1, 3, 4), lambda p: F.coalesce(_date(number(p, 0), number(p, 1), number(p, 2)), _date(number(p, 0), number(p, 2), number(p, 1)))))
+        .when(x.rlike(dmy), made(dmy, (1, 3, 4), lambda p: F.coalesce(_date(_year(F.get(p, 2)), number(p, 1), number(p, 0)), _date(_year(F.get(p, 2)), number(p, 0), number(p, 1)))))
+        .when(x.rlike(compact), made(compact, (1, 2, 3), lambda p: _date(number(p, 0), number(p, 1), number(p, 2))))
+    )
+    named = (
+        F.when(x.rlike(d_mon_y), made(d_mon_y, (1, 2, 3), lambda p: _date(_year(F.get(p, 2)), _month(F.get(p, 1)), number(p, 0))))
+        .when(x.rlike(mon_d_y), made(mon_d_y, (1, 2, 3), lambda p: _date(_year(F.get(p, 2)), _month(F.get(p, 0)), number(p, 1))))
+        .when(x.rlike(y_mon_d), made(y_mon_d, (1, 2, 3), lambda p: _date(number(p, 0), _month(F.get(p, 1)), number(p, 2))))
     )
+    # All begin with a digit or a letter; am and pm are letters too, so a value with letters is tried in all orders.
+    return F.when(digits_only, F.when(first.between("0", "9"), numeric)).otherwise(F.coalesce(numeric, named))
 
 
 def parse_time(c: Column) -> Column:

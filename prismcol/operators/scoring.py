@@ -84,7 +84,8 @@ def score_values(values: DataFrame, detectors: dict[str, Detector] | None = None
     All detectors run in one pass over the distinct values and meet in one partial aggregation.
     """
     detectors = REGISTRY if detectors is None else detectors
-    rows = values.where(F.col("v").isNotNull() & (trimmed(F.col("v")) != "")).select("column", "v").distinct()
+    rows = values.where(F.col("v").isNotNull() & (trimmed(F.col("v")) != "")).select("column", "v")
+    rows = rows if "w" in values.columns else rows.distinct()  # with counts, values are distinct already
     wide = rows.groupBy("column").agg(F.count("*").alias("n"), *(F.avg(d(F.col("v")).cast("int")).alias(f"d_{name}") for name, d in detectors.items()))
     pairs = F.array(*(F.struct(F.lit(name).alias("data_type"), F.lit(d.index).alias("registry"), F.lit(d.loose).alias("loose"), F.col(f"d_{name}").alias("pass_rate")) for name, d in detectors.items()))
     return wide.select("column", "n", F.inline(pairs))
