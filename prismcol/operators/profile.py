@@ -214,25 +214,13 @@ def header(values: DataFrame) -> DataFrame:
     return values.select("column").distinct().select("column", *(name.rlike(p).cast("double").alias(f"nm_{k}") for k, p in HEADER_WORDS.items()), F.length("column").alias("nm_nchar"), F.col("column").contains("_").cast("double").alias("nm_has_under"), (F.col("column") == F.upper("column")).cast("double").alias("nm_is_upper"), F.size(F.split("column", "[_ .]+")).alias("nm_n_tokens"))
 
 
-def sequence(df: DataFrame, column: str, order: str) -> DataFrame:
-    """How a column runs along an order: shares of equal neighbours, monotony, lag-1 correlation. One column's order is one task's work."""
-    w = Window.orderBy(order)
-    rows = df.select(F.col(column).cast("string").alias("v"), F.col(column).try_cast("double").alias("x"), order).where("v is not null").withColumns({"p": F.lag("v").over(w), "y": F.lag("x").over(w), "i": F.row_number().over(w)})
-    d = F.col("x") - F.col("y")
-    return rows.agg(
-        F.lit(column).alias("column"), (F.count("*") / F.sum(F.when(F.col("p").isNull() | (F.col("p") != V()), 1).otherwise(0))).alias("mean_run_length"), F.min((d >= 0).cast("double")).alias("is_monotone_incr"), F.min((d <= 0).cast("double")).alias("is_monotone_decr"),
-        F.min((d == 1).cast("double")).alias("is_autoincrement"), (F.count_distinct(d) == 1).cast("double").alias("diff_constant"), F.corr("x", "y").alias("lag1_autocorr"), F.avg((d == 0).cast("double")).alias("pct_diff_zero"),
-    )
-
-
 BLOCKS = {"core": core, "zipf": zipf, "length": length, "charclass": charclass, "punct": punct, "mask": mask, "charfreq": charfreq, "regex": regex, "numeric": numeric, "token": token, "header": header}
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, blocks: list[str] | None = None) -> DataFrame:
-    """All chosen blocks' features, a row for each column; core is always part of it."""
-    from . import profile_ends  # noqa: F401 - it uses the helpers above, and adds its blocks
+    """All chosen blocks' features, a row for each column; core is always part of it. Blocks share the shuffle that makes the value table."""
+    from . import profile_ends, profile_more  # noqa: F401 - they use the helpers above, and add their blocks
 
     values = values_frame(df, columns)
-    values = values.persist()
     frames = [BLOCKS[b](values) for b in dict.fromkeys(["core", *(blocks or BLOCKS)])]
     return reduce(lambda a, b: a.join(b, "column", "left"), frames)

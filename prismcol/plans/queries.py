@@ -18,6 +18,7 @@ from ..sources.values import values_frame
 from ..streaming.rates import detector_rates
 from .columns import COLUMNS
 from .lifecycle import LIFECYCLE
+from .more import MORE
 from .probes import detect_probes, detect_probes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,9 +291,8 @@ def profile_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.moments(values_of(spark, sf_dir, NUMBERS)).select("column", *_MOMENTS))
 
 
-@query("profile_sequence", "with s as (select value as x, lag(value) over (order by event_id) as y from events), d as (select x, y, x - y as d from s) select 'value' as \"column\", round(corr(x, y), 6) as lag1_autocorr, round(avg(case when d = 0 then 1.0 when d is not null then 0.0 end), 6) as pct_diff_zero, cast(min(case when d >= 0 then 1 when d is not null then 0 end) as double) as is_monotone_incr from d")
-def profile_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.sequence(read(spark, sf_dir, "events"), "value", "event_id").select("column", "lag1_autocorr", "pct_diff_zero", "is_monotone_incr"))
+for _name, (_f, _sql) in MORE.items():
+    query(_name, _sql)(_f)
 
 
 # ---- signatures, transforms, screens --------------------------------------------------------------------------------------
