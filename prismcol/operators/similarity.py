@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import profile as P
 
-AXES = ["composition", "coercibility", "rigidity", "length", "punctuation", "atomicity", "uniqueness"]
+# The axes, and the weights by which formats of one type are compared.
+AXES = ["composition", "numeric_gap", "rigidity", "width", "punctuation", "tokenization", "cardinality"]
+FORMAT_WEIGHTS = [1.0, 0.5, 2.0, 2.0, 2.0, 1.0, 0.0]
 
 
 def signatures(values: DataFrame) -> DataFrame:
@@ -42,3 +44,18 @@ def sibling_report(signed: DataFrame, path_near: float = 0.34, sig_near: float =
     pairs = a.join(b, F.col("a.column") < F.col("b.column")).select(F.col("a.column").alias("left"), F.col("b.column").alias("right"), F.round(signature_distance("a", "b"), 3).alias("sig_dist"), F.round(path_distance(F.col("a.path"), F.col("b.path")), 6).alias("path_dist"))
     near_p, near_s = F.col("path_dist") <= path_near, F.col("sig_dist") <= sig_near
     return pairs.withColumn("verdict", F.when(near_p & near_s, "both").when(near_s, "hidden_risk").when(near_p, "safe_split").otherwise("unrelated"))
+
+
+def similarity(a: str, b: str, weights: list[float] | None = None) -> Column:
+    """One less the distance."""
+    return 1 - signature_distance(a, b, weights)
+
+
+def explain_pair(signed: DataFrame, left: str, right: str, weights: list[float] | None = None) -> DataFrame:
+    """``axis, left, right, difference, part`` for two columns of signatures: how much each axis adds to their distance, largest first."""
+    w = weights or [1.0] * len(AXES)
+    a, b = signed.where(F.col("column") == left).alias("a"), signed.where(F.col("column") == right).alias("b")
+    gap = lambda x: F.abs(F.col(f"a.{x}") - F.col(f"b.{x}"))
+    total = reduce(lambda s, t: s + t, (F.when(gap(x).isNotNull(), F.lit(float(k))).otherwise(0.0) for x, k in zip(AXES, w, strict=True)))
+    rows = F.array(*(F.struct(F.lit(x).alias("axis"), F.col(f"a.{x}").alias("left"), F.col(f"b.{x}").alias("right"), gap(x).alias("difference"), (gap(x) * k / F.nullif(total, F.lit(0.0))).alias("part")) for x, k in zip(AXES, w, strict=True)))
+    return a.join(b).select(F.inline(rows)).orderBy(F.col("part").desc_nulls_last(), "axis")  # one row each

@@ -87,14 +87,14 @@ def _header_sql() -> str:
 _AXES = {
     "composition": "sum(w * length(regexp_replace(v, '[^0-9]', '', 'g')) / length(v)) / sum(w)",
     "numbers": r"sum(w * regexp_full_match(regexp_replace(regexp_replace(v, '[$,%\s]', '', 'g'), '^\((.*)\)$', '-\1'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')::int) / sum(w)",
-    "length": "log10(1 + sum(w * length(v)) / sum(w)) / 2",
+    "width": "log10(1 + sum(w * length(v)) / sum(w)) / 2",
     "punctuation": "sum(w * length(regexp_replace(v, '[^[:punct:]]', '', 'g')) / length(v)) / sum(w)",
-    "atomicity": rf"sum(case when len(regexp_split_to_array({_TRIM}, '\s+')) = 1 then w else 0 end) / sum(w)",
-    "uniqueness": "count(*) / sum(w)",
+    "tokenization": rf"sum(case when len(regexp_split_to_array({_TRIM}, '\s+')) = 1 then w else 0 end) / sum(w)",
+    "cardinality": "count(*) / sum(w)",
 }
 _SIGNATURES = f"""{sql_values(TEXTS)}, a as (select "column", {', '.join(f'{e} as {n}' for n, e in _AXES.items())} from u group by 1),
     g as (select "column", max(w) / sum(w) as rigidity from (select "column", translate(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '', '') as m, sum(w) as w from u group by 1, 2) group by 1),
-    z as (select "column", {', '.join(f'greatest(0, least(1, {e}))::double as {n}' for n, e in {**{n: n for n in ('composition',)}, 'coercibility': '(numbers - composition + 1) / 2', 'rigidity': 'rigidity', 'length': 'length', 'punctuation': 'punctuation', 'atomicity': 'atomicity', 'uniqueness': 'uniqueness'}.items())} from a join g using ("column"))"""
+    z as (select "column", {', '.join(f'greatest(0, least(1, {e}))::double as {n}' for n, e in {**{n: n for n in similarity.AXES}, 'numeric_gap': '(numbers - composition + 1) / 2'}.items())} from a join g using ("column"))"""
 SIGNATURES_SQL = f"with {_SIGNATURES} select \"column\", {', '.join(f'round({n}, 6) as {n}' for n in similarity.AXES)} from z"
 SIBLINGS_SQL = f"""with {_SIGNATURES}, p as (select *, ends_with("column", 'name') as named from z),
     d as (select a."column" as "left", b."column" as "right", round(({' + '.join(f'abs(a.{n} - b.{n})' for n in similarity.AXES)}) / {len(similarity.AXES)}, 3) as sig_dist, case when a.named = b.named then 0.0 else 1.0 end::double as path_dist from p a join p b on a."column" < b."column")
