@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import SENTINELS
 from ..operators import profile as P
-from ..operators import screens, similarity, testgen
+from ..operators import catalogue, screens, similarity, testgen
 from ..operators.detectors import REGISTRY
 from ..operators.scoring import NAME_RULES, guess_columns, score_values
 from ..sources.values import values_frame
@@ -111,12 +111,45 @@ ROUNDTRIP_SQL = rf"""with {sql_values(KEYS)},
     m as (select "column", bool_and(regexp_full_match(v, '[+-]?[0-9]+')) as i, bool_and(regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')) as d, bool_and(lower(v) in ('true', 'false', 't', 'f')) as l,
         bool_or(regexp_full_match(v, '[+-]?0[0-9]+') or v[1] = '+' or regexp_full_match(v, '[0-9]{{16,}}')) as zero, bool_or(regexp_matches(v, '\.[0-9]*0$') or regexp_matches(v, '[eE]') or ends_with(v, '.')) as tail, {_HAZARDS} as hazards from u group by 1)
     select "column", case when i then 'integer' when d then 'double' when l then 'logical' else 'character' end as inferred, case when i then zero when d then zero or tail when l then true else false end as value_changed, hazards from m"""
+# What the columns are said to hold, to be held against their values.
+EXPECTED = {"c_name": "number", "c_custkey": "text", "c_acctbal": "number", "p_brand": "text", "props": "number"}
 TRIAGE_SQL = rf"""with {sql_values(KEYS)}, b as (select "column", sum(w) as n, sum(case when v is not null and lower({_TRIM}) in ({', '.join(map(_q, SENTINELS))}) then w else 0 end) / sum(w) as sentinel from vals group by 1),
-    m as (select "column", sum(w) as usable, count(*) as k, sum(w * length(regexp_replace(v, '[^0-9]', '', 'g')) / length(v)) / sum(w) as dg, sum(w * length(regexp_replace(v, '[^A-Za-z]', '', 'g')) / length(v)) / sum(w) as al, {_AXES['punctuation']} as pu, sum(w * (strlen(v) - length(regexp_replace(v, '[^\x00-\x7F]', '', 'g'))) / length(v)) / sum(w) as na from u group by 1),
+    m as (select "column", sum(w) as usable, count(*) as k, sum(w * length(regexp_replace(v, '[^0-9]', '', 'g')) / length(v)) / sum(w) as dg, sum(w * length(regexp_replace(v, '[^A-Za-z]', '', 'g')) / length(v)) / sum(w) as al, {_AXES['punctuation']} as pu, sum(w * (strlen(v) - length(regexp_replace(v, '[^\x00-\x7F]', '', 'g'))) / length(v)) / sum(w) as na, {_AXES['numbers']} as num,
+        sum(case when regexp_matches(v, '^\s') or regexp_matches(v, '\s$') then w else 0 end) as ws, sum(case when regexp_matches(v, '[A-Za-z]') and v = upper(v) then w else 0 end) / sum(w) as up, sum(case when regexp_full_match(v, '[A-Z][a-z]+( [A-Z][a-z'']+)*') then w else 0 end) / sum(w) as ti from u group by 1),
     g as (select "column", max(w) / sum(w) as top from (select "column", regexp_replace(regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g') as x, sum(w) as w from u group by 1, 2) group by 1),
-    r as (select "column", list_filter([case when coalesce(usable, 0) < 8 then 'few_values' end, case when coalesce(k, 0) <= 1 then 'constant' end, case when sentinel > 0.9 then 'sentinels' end], lambda x: x is not null) as e,
-        list_filter([case when na > 0.15 then 'non_ascii' end, case when pu > 0.5 and al < 0.2 and dg < 0.2 then 'punctuation' end, case when top > 0.9 and al + dg < 0.15 then 'symbols' end], lambda x: x is not null) as j from b left join m using ("column") left join g using ("column"))
-    select "column", case when len(e) > 0 then 'empty' when len(j) > 0 then 'garbage' else 'clean' end as verdict, array_to_string(case when len(e) > 0 then e else j end, ',') as reasons from r"""
+    x(c, expected) as (values {', '.join(f"('{c}', '{t}')" for c, t in EXPECTED.items())}),
+    r as (select "column", case when coalesce(usable, 0) < 8 then 'n_usable < 8' when coalesce(k, 0) <= 1 then 'constant column' when sentinel > 0.9 then 'all-sentinel' end as e,
+        list_filter([case when na > 0.15 then printf('non-ascii %.0f%% (mojibake)', 100 * na) end, case when pu > 0.5 and al < 0.2 and dg < 0.2 then 'punctuation-dominant' end, case when top > 0.9 and al + dg < 0.15 then 'single-punctuation mask' end], lambda x: x is not null) as j,
+        list_filter([case when top < 0.9 then 'mixed_subformats' end, case when sentinel > 0 then 'sentinel_missing' end, case when ws > 0 then 'whitespace_damage' end, case when up > 0.05 and ti > 0.05 then 'mixed_case' end, case when na > 0.01 then 'encoding_damage' end], lambda x: x is not null) as mk, top, num > 0.7 as isnum, expected = 'number' as wants
+        from b left join m using ("column") left join g using ("column") left join x on x.c = b."column"),
+    z as (select *, e is null and len(j) = 0 as keep, case when top < 0.5 then 'hard' when len(mk) > 0 then 'medium' else 'easy' end as rating, coalesce(wants <> isnum, false) as unlike from r)
+    select "column", case when e is not null then 'empty' when len(j) > 0 then 'garbage' when unlike then 'mismatch' when rating = 'hard' then 'hard' else 'clean' end as verdict, keep,
+        case when e is not null then e when len(j) > 0 then array_to_string(j, ',') when unlike then 'values look ' || case when isnum then 'numeric' else 'non-numeric' end || ' but label implies ' || case when wants then 'numeric' else 'non-numeric' end else 'genuine example' end as reasons, case when keep then rating end as difficulty, case when keep then array_to_string(mk, ',') else '' end as noise_markers from z"""
+
+
+def triage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = F.create_map(*(F.lit(x) for kv in EXPECTED.items() for x in kv))[F.col("column")]
+    return screens.triage(values(spark, sf_dir, KEYS), expected)
+
+
+# Storage that columns are meant for.
+STORES = {"c_name": "character", "c_mktsegment": "factor", "c_custkey": "integer", "c_acctbal": "double", "p_brand": "string", "p_retailprice": "integer", "props": "character", "n_nationkey": "character"}
+_READ = lambda x: rf"case when bool_and({x} in ('T', 'F', 'TRUE', 'FALSE', 'true', 'false')) then 'logical' when bool_and(regexp_full_match({x}, '[+-]?[0-9]{{1,9}}')) then 'integer' when bool_and(regexp_full_match({x}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')) then 'numeric' else 'character' end"
+CHECK_SQL = rf"""with {sql_values(KEYS)}, s(id, intended, want) as (values {', '.join(f"('{c}', '{t}', '{screens.STORAGE.get(t)}')" for c, t in STORES.items())}),
+    m as (select "column" as id, {_READ("trim(v)")} as a, {_READ("v")} as g, bool_or(regexp_matches(trim(v), '^[+-]?0[0-9]+$|^\+|^[0-9]{{16,}}$|\.[0-9]*0$|[eE]|\.$|^-?\.')) as odd from u group by 1), h as (select "column" as id, {_HAZARDS} as hz from vals group by 1),
+    j as (select s.*, a, g, a in ('integer', 'numeric') and odd as ch, want <> a as tw, a <> g as rd, intended in ('factor', 'ordered', 'date', 'datetime') as al, hz from s join m using (id) join h using (id))
+    select id, intended, a as inferred_base, g as inferred_guess, ch as value_changed, tw as type_wrong, rd as reader_disagree, replace(hz, ',', ';;') as excel_hazards, ch or tw or rd or al or hz <> '' as needs_import_rule,
+        array_to_string(list_filter([case when ch then 'VALUE_CHANGED' end, case when tw then 'TYPE_WRONG' end, case when rd then 'READER_DISAGREE' end, case when al then 'NOT_INFERABLE_FROM_VALUES' end, case when hz <> '' then 'EXCEL_HAZARD' end], lambda x: x is not null), ';;') as reason from j"""
+
+
+def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.createDataFrame(list(STORES.items()), "column string, storage string")
+    return screens.roundtrip_check(values(spark, sf_dir, KEYS), stored)
+
+
+def route_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of each column by shortlist and recipes; SQL has no transforms, tests hold known columns against it."""
+    return rounded(catalogue.route(values(spark, sf_dir, TABLES)))
 
 
 def _mutants_sql(n: int = 20, seed: int = 514) -> str:
@@ -145,6 +178,8 @@ COLUMNS = {
     "signature_columns": (lambda spark, sf_dir: rounded(similarity.signatures(values(spark, sf_dir, TEXTS))), SIGNATURES_SQL),
     "sibling_report": (sibling_report, SIBLINGS_SQL),
     "roundtrip_screen": (lambda spark, sf_dir: screens.roundtrip(values(spark, sf_dir, KEYS)), ROUNDTRIP_SQL),
-    "triage_columns": (lambda spark, sf_dir: screens.triage(values(spark, sf_dir, KEYS)), TRIAGE_SQL),
+    "roundtrip_check": (roundtrip_check, CHECK_SQL),
+    "triage_columns": (triage_columns, TRIAGE_SQL),
+    "route_tables": (route_tables, None),
     "mutation_negatives": (mutation_negatives, _mutants_sql()),
 }

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from prismcol.operators.detectors import REGISTRY
-from prismcol.operators.testgen import detector_report
+from prismcol.operators.testgen import GENERIC, alphabet, detector_results, mutate, negatives, report_text, summary_row
+from prismcol.plans.probes import VALUES
 
 # Type: values to accept | values to reject.
 CASES = {
@@ -48,7 +49,46 @@ def test_null_and_line_break(spark):
     assert not any(v is not None for v in rows[0]) and rows[1]["zip_code"] is False
 
 
+# Types that accept less than a tenth of the widest mutants.
+STRICT = "email url ipv4 ipv6 mac hex_color rgb_color hsl_color cmyk_color md5 sha1 sha256 guid ensembl_id uniprot_id snp_id asin bibcode zip_code".split()
+
+
 def test_strict_detectors_reject_mutants(spark):
-    positives = spark.createDataFrame([(v,) for v in CASES["guid"][0].split() + CASES["md5"][0].split()], "v string")
-    rates = {r["label"]: r["pass_rate"] for r in detector_report(REGISTRY["guid"], positives).collect()}
-    assert rates["S3"] < 0.1
+    values = [(name, v) for name in STRICT for v in VALUES[name].split("|")]
+    accepted = F.lit(False)
+    for name in STRICT:
+        accepted = F.when(F.col("name") == name, REGISTRY[name](F.col("v"))).otherwise(accepted)
+    positives = spark.createDataFrame(values, "name string, v string").where(accepted)
+    assert positives.select("name").distinct().count() == len(STRICT)
+    k = F.explode(F.sequence(F.lit(1), F.lit(200)))
+    mutants = positives.select("name", "v", k.alias("k")).select("name", mutate(F.col("v"), F.col("k"), F.array(*map(F.lit, GENERIC)), False).alias("v")).distinct().join(positives, ["name", "v"], "left_anti")
+    rates = {r["name"]: r["rate"] for r in mutants.groupBy("name").agg(F.avg(accepted.cast("int")).alias("rate")).collect()}
+    assert len(rates) == len(STRICT) and max(rates.values()) < 0.1, rates
+
+
+def test_tiers(spark):
+    positives = spark.createDataFrame([(v,) for v in CASES["guid"][0].split() + ["0f2a5936-1d1a-49e8-9a2f-f9cdf0d5a811", "abcdef01-0000-4000-8000-123456789abc"]], "v string")
+    results = detector_results(REGISTRY["guid"], positives)
+    row = summary_row("guid", results).first()
+    assert row["n_positives"] == 3 and row["n_false_negatives"] == 0 and row["rate_S1"] == 1 and row["rate_S2"] < 0.2 and row["rate_S3"] < 0.01 and row["rate_SP"] < 0.1
+    moved = [r["v"] for r in negatives(positives, "SP").collect()]
+    letters = {v.replace("-", "") for v in (r["v"] for r in positives.collect())}
+    assert len(moved) > 30 and all(m.replace("-", "") in letters and m.count("-") == 4 for m in moved)
+    assert report_text("guid", results).startswith("guid: 0 of 3 positives rejected")
+    known = alphabet(positives).first()
+    assert known["marks"] == ["-"] and set(known["everything"]) == {"-", *known["alnum"]}
+    assert {c for r in negatives(positives, "S1").collect() for c in r["v"]} <= set(known["everything"])
+
+
+def test_lexicons_from_a_folder(spark, tmp_path):
+    from prismcol.functions import vocabulary
+
+    df = spark.createDataFrame([("Kowalski",), ("Smith",)], "v string")
+    (tmp_path / "last_name.txt").write_text("Kowalski\nFitzgerald\n")
+    try:
+        vocabulary.use_lexicons(str(tmp_path))
+        got = [r[0] for r in df.select(REGISTRY["last_name"](F.col("v"))).collect()]
+    finally:
+        vocabulary.use_lexicons(None)
+    assert got == [True, False] and [r[0] for r in df.select(REGISTRY["last_name"](F.col("v"))).collect()] == [False, True]
+    assert [r[0] for r in spark.createDataFrame([("",), (" ",), ("x",)], "v string").select(REGISTRY["full_name"](F.col("v"))).collect()] == [None, None, False]
