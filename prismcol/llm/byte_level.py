@@ -15,7 +15,7 @@ import numpy as np
 from .hashing import BASE, mix
 
 LETTER, NUMBER, OTHER, WHITE = range(4)
-SLOT_BITS = 20
+SLOT_BITS = 21
 #: Ids that a slot of the store holds; a piece with more is encoded again in each batch.
 WIDTH = 8
 #: Bytes of text that are cut and looked up together; longer texts are given in segments.
@@ -80,7 +80,8 @@ class ByteLevelEncoder:
         self.spaced[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
         self.values = mix(np.arange(256, dtype=np.uint64) * np.uint64(BASE) + np.uint64(1))
         self._powers(AT_ONCE + 1)
-        self.keys, self.counts, self.ids = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint8), np.zeros((1 << SLOT_BITS, WIDTH), np.int32)
+        self.keys, self.counts = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint8)
+        self.ids = np.zeros((1 << SLOT_BITS, WIDTH), np.uint16 if len(self.spaced) <= 1 << 16 else np.int32)
 
     def _powers(self, n: int) -> None:
         self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))))
@@ -139,7 +140,8 @@ class ByteLevelEncoder:
         spaced = (length > 1) & (data[start] == 0x20) & (cls[np.minimum(start + 1, len(cls) - 1)] != WHITE)
         counts, parts = np.zeros(len(start), np.int64), {}
         if spaced.any():
-            ids = np.array(self.library.encode(data[_ragged(start[spaced], length[spaced])].tobytes().decode(), add_special_tokens=False).ids, np.int32)
+            text = data[_ragged(start[spaced], length[spaced])].tobytes().decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != int(spaced.sum()) or at[0]:
                 raise ValueError("the tokenizer does not cut at spaces")
