@@ -219,9 +219,13 @@ RULES = {
 }
 
 
-def detect_probes_sql() -> str:
+def probes_sql() -> str:
+    """The probes as ``w`` with ``v``, as the beginning of a query."""
     typed = ", ".join(f"({_q(x)})" for x in _typed())
     columns = " union all ".join(f"select {e.replace('as string', 'as varchar')} from {t}" for t, e in COLUMNS)
-    variants = ", ".join(VARIANTS)
+    return f"with t as (select distinct v from (select * from (values {typed}) x(v) union all {columns}) where v is not null), w as materialized (select distinct unnest([{', '.join(VARIANTS)}]) as v from t) "
+
+
+def detect_probes_sql() -> str:
     each = " union all ".join(f"select '{name}' as data_type, count(*) as n, count(*) filter ({rule}) as hits, coalesce(sum(h) filter ({rule}), 0)::bigint as digest from p" for name, rule in RULES.items())
-    return f"with t as (select distinct v from (select * from (values {typed}) x(v) union all {columns}) where v is not null), w as materialized (select distinct unnest([{variants}]) as v from t), p as materialized (select v, ('0x' || substr(md5(v), 1, 8))::bigint as h from w) {each}"
+    return f"{probes_sql()}, p as materialized (select v, ('0x' || substr(md5(v), 1, 8))::bigint as h from w) {each}"

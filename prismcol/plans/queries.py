@@ -20,6 +20,7 @@ from .columns import COLUMNS
 from .lifecycle import LIFECYCLE
 from .more import MORE
 from .probes import detect_probes, detect_probes_sql
+from .verbs import stabilize_probes, stabilize_probes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +76,7 @@ SHARE = "sum(case when {} then w else 0 end) / sum(w)"
 
 
 query("detect_probes", detect_probes_sql())(detect_probes)
+query("stabilize_probes", stabilize_probes_sql())(stabilize_probes)
 
 SIMPLE = {
     "currency_symbol": r"^[$€¥£][0-9]+(\.[0-9]{1,2})?\z", "md5": r"^[0-9a-fA-F]{32}\z", "zip_code": r"^[0-9]{5}(-[0-9]{4})?\z", "snp_id": r"^rs[0-9]+\z", "asin": r"^B0[0-9A-Z]{8}\z", "icd10_code": r"^[A-Z][0-9]{2}(\.[A-Z0-9]{1,4})?\z",
