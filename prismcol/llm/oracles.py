@@ -82,7 +82,7 @@ def quality() -> str:
     ls as (select doc_id, count(*) as n, count(*) - count(distinct l) as dup from (select doc_id, unnest(string_split(text, chr(10))) as l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1),
     a as (select d.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols, coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_lines, coalesce(r, 0) as n_repeat_words from d left join again using (doc_id) left join ls using (doc_id)),
     b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {', '.join(f'{v} as m_{m}' for m, v in value.items())} from a),
-    x as (select lang, source, m, case when v < 64 then v else (v >> (len(bin(v)) - 6)) << (len(bin(v)) - 6) end as k from ({long})),
+    x as (select lang, source, m, case when v < 256 then v else (v >> (len(bin(v)) - 8)) << (len(bin(v)) - 8) end as k from ({long})),
     q0 as ({level(['lang', 'source'])}),
     q1 as ({level(['lang'])}),
     q2 as ({level([])}),

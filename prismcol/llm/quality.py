@@ -73,7 +73,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
 
     Adds the base counts, ``base_failed`` and ``kept`` to the columns ``carry`` (default: all). Each group
     of equal language and source (null is a value of its own) gets a log-linear histogram of each measure: values below
-    64 have a bucket each, larger ones keep their six leading bits, so quantiles are at most 1/32 too low. Such
+    256 have a bucket each, larger ones keep their eight leading bits, so quantiles are at most 1/128 too low. Such
     sketches merge by adding counts, in any order to the same result, and one row for each bucket is all that is shuffled,
     however large a group is. Sketches of groups are merged to those of languages and of all rows, from which groups too small for
     a quantile take theirs. Documents that fail the base rules do not count for the sketches. All fences come from the sketches (MEASURES): a document is
@@ -109,8 +109,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lengths = sorted({of for _, of, *_ in MEASURES.values()})
     sketched = [*MEASURES, *lengths]
     v = rows.selectExpr("l", "s", f"stack({len(sketched)}, {', '.join(f"'{m}', {m}" for m in sketched)}) as (measure, v)")
-    bits = "length(bin(v)) - 6"
-    own = v.groupBy("l", "s", "measure", F.expr(f"case when v < 64 then v else shiftleft(shiftright(v, {bits}), {bits}) end").alias("bucket")).agg(F.count("*").alias("n"))
+    bits = "length(bin(v)) - 8"
+    own = v.groupBy("l", "s", "measure", F.expr(f"case when v < 256 then v else shiftleft(shiftright(v, {bits}), {bits}) end").alias("bucket")).agg(F.count("*").alias("n"))
     own = materialise(own, "sketches")
     upper, lower = (F.lit(500) for _ in range(2))
     for m, (_, _, top, bottom, *_) in MEASURES.items():
